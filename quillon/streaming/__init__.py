@@ -1,0 +1 @@
+"""quillon.streaming"""
