@@ -47,25 +47,34 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
     return docs.select(*[c for c in docs.columns if c != text], of(F.col(text)).alias("fingerprint"))
 
 
-def _masks(width: int, flips: int) -> list[int]:
+def _signed(bits: int) -> int:
+    return bits - (1 << BITS) if bits >> (BITS - 1) else bits
+
+
+def _masks(flips: int) -> list[int]:
     """Every choice of that many bits, as signed 64-bit integers."""
-    found = [sum(1 << b for b in c) for c in combinations(range(width), flips)]
-    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in found]
+    return [_signed(sum(1 << b for b in c)) for c in combinations(range(BITS), flips)]
 
 
-def _with_company(prints: DataFrame) -> DataFrame:
+def _with_company(prints: DataFrame, mask: int) -> DataFrame:
     """The fingerprints that may have another one within 3 bits; those left out have none.
 
-    Of 3 differing bits at most one lies in one of the two halves. So halves are put together that differ in
-    one bit at most: an odd half emits its 32 neighbours, which are even, and an even half emits itself.
+    Of 3 differing bits at most one lies in one of two halves, the bits of ``mask`` and the others. Halves
+    that differ in one bit have different parities: an even half emits itself, an odd one itself and its 32
+    neighbours. A cell counts if it has two fingerprints and, unless all of them lie on it, an even one on it.
     """
-    half = F.explode(F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32))))
-    halves = prints.select("fp", half.alias("half"))
-    odd = F.bit_count(F.col("half").bitwiseAND(F.lit(0xFFFFFFFF))) % 2 == 1
-    flip = F.when(odd, F.lit(_masks(32, 1))).otherwise(F.lit([0]))
-    cells = halves.select("fp", "half", F.explode(flip).alias("m")).select("fp", F.col("half").bitwiseXOR(F.col("m")).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("cell")
-    return cells.join(shared, "cell", "left_semi").select("fp").distinct()
+
+    def cells(mask: int) -> DataFrame:
+        flips = [1 << b for b in range(BITS) if mask >> b & 1]
+        half = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
+        flip = F.when(F.bit_count(half) % 2 == 1, F.lit([0, *map(_signed, flips)])).otherwise(F.lit([0]))
+        return prints.select("fp", half.alias("half"), F.explode(flip).alias("m")).select("fp", F.col("half").bitwiseXOR(F.col("m")).alias("cell"), (F.col("m") == 0).alias("own"))
+
+    both = cells(mask).unionByName(cells(~mask & (1 << BITS) - 1)).repartition("cell")  # dealt out once, read twice
+    lowest, highest = (f(F.when(F.col("own"), F.col("fp"))) for f in (F.min, F.max))
+    met = both.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), lowest.alias("a"), highest.alias("b"))
+    met = met.where((F.col("low") != F.col("high")) & F.when(F.bit_count("cell") % 2 == 1, F.col("a") != F.col("b")).otherwise(F.col("a").isNotNull()))
+    return both.join(met.select("cell"), "cell", "left_semi").select("fp").distinct()
 
 
 def ball_links(prints: DataFrame) -> DataFrame:
@@ -78,15 +87,17 @@ def ball_links(prints: DataFrame) -> DataFrame:
     and within 3 of all others, so each is verified by its flips alone and a link to the smallest of the
     nearer ones is enough: no pairs are made. A key holds 2,081 fingerprints at most.
     """
-    lone = _with_company(prints)
+    for mask in (0xFFFFFFFF, 0x5555555555555555):  # the second division finds out most chance meetings of the first
+        prints = _with_company(prints, mask)
+    prints = settled(prints)
     parity = F.bit_count("fp") % 2
-    even, odd = lone.where(parity == 0), lone.where(parity == 1)
+    even, odd = prints.where(parity == 0), prints.where(parity == 1)
 
     def keys(of: DataFrame, masks: list[int]) -> DataFrame:
         return of.select("fp", F.explode(F.lit(masks)).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
 
-    near = even.select("fp", F.col("fp").alias("key")).unionByName(keys(odd, _masks(BITS, 1)))
-    far = keys(even, _masks(BITS, 2))
+    near = even.select("fp", F.col("fp").alias("key")).unionByName(keys(odd, _masks(1)))
+    far = keys(even, _masks(2))
     hub = near.groupBy("key").agg(F.min("fp").alias("hub"))
     return near.unionByName(far).join(hub, "key").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
