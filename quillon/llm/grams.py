@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import held_out
 
+WORD = re.compile(r"\w+")
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CACHED = 400_000
 
@@ -66,6 +67,26 @@ class Grams:
         return np.unique(np.concatenate(found) & mask).astype(np.int64)
 
 
+@dataclass
+class Stems:
+    """Which words and word beginnings a text has, as ascending numbers under 2 ** bits; a beginning keeps inflected forms together."""
+
+    bits: int = 20
+    lengths: tuple[int, ...] = (3, 4, 5)
+    cache: dict[str, list[int]] = field(default_factory=dict, repr=False)
+
+    def of(self, text: str | None) -> np.ndarray:
+        cache, mask, out = self.cache, (1 << self.bits) - 1, []
+        if len(cache) > CACHED:
+            cache.clear()
+        for word in set(WORD.findall((text or "").lower())):
+            if (found := cache.get(word)) is None:
+                names = [word, *("^" + word[:n] for n in self.lengths if len(word) >= n)]
+                found = cache[word] = [zlib.crc32(n.encode("utf-8", "surrogatepass")) & mask for n in names]
+            out += found
+        return np.unique(np.array(out, dtype=np.int64))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: list[str], rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, *target) of at most ``rows`` labelled documents outside the held-out fold.
 
@@ -78,7 +99,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: list[str], rows:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc")).drop("__doc")
 
 
-def collected(sample: DataFrame, grams: Grams, target: list[str], seeds: dict[str, list[str]] | None = None) -> tuple[list[np.ndarray], np.ndarray, list[set[str]]]:
+def collected(sample: DataFrame, grams: Grams | Stems, target: list[str], seeds: dict[str, list[str]] | None = None) -> tuple[list[np.ndarray], np.ndarray, list[set[str]]]:
     """The indicators and targets of a bounded sample on the driver, and the seed words that each text has."""
     words = sorted({w for ws in (seeds or {}).values() for w in ws})
 

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, simhash
+from quillon.llm import bpe, mixing, quality, simhash, toxicity
 from quillon.llm.common import table
 
+
+def vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -17,14 +23,29 @@ def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe_speculative(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """All of ``documents`` encoded and decoded; see ``bpe.encode`` and ``bpe.decode``."""
+    return bpe.digest(table(spark, sf_dir, "documents"), path or vocabulary())
+
+
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; see ``toxicity.report``."""
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``; see ``simhash.near_duplicates``."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
 
 
+def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; see ``quality.report``."""
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_systematic_mix, op9_simhash_ball)}
+    return {f.__name__: f for f in (op3_systematic_mix, op7_bpe_speculative, op8_toxicity_chain, op9_simhash_ball, op10_nbsvm_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import fresh, held_out
-from quillon.llm.grams import Grams, collected, labelled_sample
+from quillon.llm.grams import Stems, collected, labelled_sample
 
 SAMPLE_ROWS = 6000  # the bound of the labelled sample
 THRESHOLD = 0.5
@@ -42,7 +42,7 @@ class Link:
 
 @dataclass
 class Chain:
-    grams: Grams
+    grams: Stems
     names: tuple[str, ...]
     links: list[Link]
 
@@ -53,7 +53,7 @@ class Chain:
         return out
 
 
-def _telling(rows: list[np.ndarray], y: np.ndarray, size: int, least: float = 40.0, most: int = 500) -> np.ndarray:
+def _telling(rows: list[np.ndarray], y: np.ndarray, size: int, least: float = 40.0, most: int = 300) -> np.ndarray:
     """The indicators whose presence and the class depend on each other most, by chi-square; at least ``least``."""
     ones, every = (np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *chosen]), minlength=size).astype(float) for chosen in ([r for r, c in zip(rows, y, strict=True) if c], rows))
     n, n1 = len(y), float(y.sum())
@@ -64,7 +64,7 @@ def _telling(rows: list[np.ndarray], y: np.ndarray, size: int, least: float = 40
     return np.sort(best[chi[best] >= least])
 
 
-def fit_link(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, size: int, penalty: float = 0.02, steps: int = 300) -> Link:
+def fit_link(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, size: int, penalty: float = 0.005, steps: int = 200) -> Link:
     """Logistic regression by accelerated gradient steps on the telling indicators and the earlier probabilities."""
     if y.sum() in (0, len(y)):
         bias = -30.0 if y.sum() == 0 else float(np.log(len(y) + 1))  # without an example, never
@@ -89,7 +89,7 @@ def fit_link(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, size: in
     return Link(columns, w[:n].astype(float), w[n:-1].astype(float), float(w[-1]))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, names: tuple[str, ...], grams: Grams, folds: int = 3) -> Chain:
+def fit(rows: list[np.ndarray], y: np.ndarray, names: tuple[str, ...], grams: Stems, folds: int = 3) -> Chain:
     """The chain over the columns of ``y``. What a later model learns from are out-of-fold probabilities.
 
     A category without examples of both kinds gets a constant, and the chain goes on.
@@ -109,7 +109,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, names: tuple[str, ...], grams: Gr
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Chain:
     """The chain insult, contempt, toxic on at most ``rows`` labelled documents outside the held-out fold."""
-    grams = Grams(bits=20, order=2)
+    grams = Stems()
     features, y, seen = collected(labelled_sample(docs, labels, ["toxic"], rows), grams, ["toxic"], SEEDS)
     toxic = (y[:, 0] > 0).astype(float)
     target = np.column_stack([*[toxic * np.array([bool(s & set(words)) for s in seen], dtype=float).reshape(-1) for words in SEEDS.values()], toxic]) if len(features) else np.zeros((0, len(CHAIN)))
@@ -118,7 +118,7 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Chai
 
 def scored(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "toxicity") -> DataFrame:
     """``docs`` with a struct of one probability for each category of the whole text; null and empty texts too."""
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # 500 weights a category at most
+    shared = docs.sparkSession.sparkContext.broadcast(chain)  # 300 weights a category at most
     names = chain.names
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
