@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, mixing, quality, simhash, toxicity
+from quillon.llm import bpe, chat, langid, lattice, licenses, mixing, quality, simhash, spotsigs, toxicity
 from quillon.llm.common import table
 
 
@@ -18,11 +18,39 @@ def vocabulary() -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; see ``spotsigs.neighbours``."""
+    return spotsigs.neighbours(table(spark, sf_dir, "documents"))
+
+
+def op2_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``embeddings``; see ``lattice.near_duplicates``."""
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` mixed; see ``mixing.mix``."""
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; see ``licenses.scan``."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; see ``langid.report``."""
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``conversations`` and conversation -1, formatted and read back; see ``chat.format_turns`` and ``chat.digest``."""
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql(f"select -1L conv_id, id turn, if(id = 0, 'user', 'assistant') role, '{said}' text from range(2)")
+    return chat.digest(chat.format_turns(chat.text_parts(turns.unionByName(more))))
+
+
 def op7_bpe_speculative(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """All of ``documents`` encoded and decoded; see ``bpe.encode`` and ``bpe.decode``."""
     return bpe.digest(table(spark, sf_dir, "documents"), path or vocabulary())
@@ -45,7 +73,11 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_systematic_mix, op7_bpe_speculative, op8_toxicity_chain, op9_simhash_ball, op10_nbsvm_quality)}
+    found = (
+        op1_spotsigs, op2_e8_lattice, op3_systematic_mix, op4_license_index, op5_zstd_language,
+        op6_chat_parts, op7_bpe_speculative, op8_toxicity_chain, op9_simhash_ball, op10_nbsvm_quality,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

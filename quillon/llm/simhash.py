@@ -11,10 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import settled
+from quillon.llm.common import fresh, settled
 from quillon.llm.components import connected_components
 
-SEED, BITS, RADIUS = 42, 64, 3
+SEED, BITS = 42, 64
+LOWEST = -(1 << 63)  # stands for a null id in keys
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -36,15 +37,18 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes) // 8).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
-    """``docs`` without its other columns' cost: the text column replaced by the long ``fingerprint``."""
-
+def _simhash_column(shingle: int):
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([simhash(x, shingle) for x in batch], dtype="int64")
 
-    return docs.select(*[c for c in docs.columns if c != text], of(F.col(text)).alias("fingerprint"))
+    return of
+
+
+def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", shingle: int = 3) -> DataFrame:
+    """``docs`` with the long fingerprint of its text in place of the text."""
+    return docs.select(*[c for c in docs.columns if c != text], _simhash_column(shingle)(F.col(text)).alias(name))
 
 
 def _signed(bits: int) -> int:
@@ -110,7 +114,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of it have null ids the component is null. Repeated rows stay rows. An empty table gives no rows.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = settled(fingerprints(own, shingle=shingle).withColumnRenamed("fingerprint", "fp"))
+    marked = settled(fingerprints(own, name="fp", shingle=shingle))
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(ball_links(prints.select("fp")), "a", "b").select(F.col("node").alias("fp"), "root")
     rooted = prints.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -118,5 +122,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep(docs: DataFrame, stays: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, fp) is in ``stays``, one row for each; the columns stay as they are.
+
+    The fingerprints are computed again, so that only one shuffle carries texts. Its key holds the id, so
+    that a large group of copies is no hot key.
+    """
+    print_, id_ = fresh(docs, "__fp"), fresh(docs, "__id")
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST))
+    marked = docs.withColumn(print_, _simhash_column(shingle)(F.col(text))).withColumn(id_, key)
+    wanted = stays.select(F.col("fp").alias(print_), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias(id_))
+    return marked.join(wanted, [print_, id_], "left_semi").dropDuplicates([print_, id_]).drop(print_, id_)
+
+
 def hexed(column: Column) -> Column:
     return F.lpad(F.lower(F.hex(column)), 16, "0")
