@@ -31,7 +31,7 @@ class Languages:
     """Dictionary bytes by language; compressors are made where they are used."""
 
     dictionaries: dict[str, bytes]
-    level: int = 3
+    level: int = 6
 
     def compressors(self) -> list[tuple[str, zstandard.ZstdCompressor]]:
         made = []
