@@ -20,7 +20,8 @@ from quillon.llm.common import fresh
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-CACHED_WORDS, CACHED_PAIRS, CHUNK_CHARS = 300_000, 4_000_000, 2_000_000
+CACHED_WORDS, CACHED_PAIRS, CHUNK_CHARS = 250_000, 2_000_000, 1_000_000
+SHORT, ROWS = 48, 500  # bytes of a word that is merged in a plain list; rows that are handed on at a time
 
 
 def byte_names() -> dict[str, int]:
@@ -41,37 +42,57 @@ class Bpe:
         self.longest = max(map(len, self.ids))
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         of = lambda name: self.ids[bytes(names[c] for c in name)]
-        self.merges = {(of(a), of(b)): (rank, of(a + b)) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {(of(a), of(b)): rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [of(a + b) for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.raw |= {i: t.encode() for t, i in self.added.items()}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(PATTERN)
         self.decimal = {i: str(i) for i in self.raw}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.known, self.fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.sound: dict[int, bool] = {}
         self.merged_exactly = 0
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: the lowest rank first, the leftmost among equals; a heap over a linked list."""
-        ids: list[int] = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        if len(ids) < 2:
-            return ids
-        after, before, merges = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)], self.merges
-        heap = [(found[0], i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (found := merges.get((ids[i], ids[i + 1])))]
+        """Exact merging: the lowest rank first, the leftmost among equals."""
+        ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        get, none = self.ranks.get, len(self.merged)
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks:
+            lowest = min(ranks)
+            if lowest == none:
+                break
+            i = ranks.index(lowest)
+            ids[i : i + 2] = [self.merged[lowest]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same for long words, by a heap over a linked list."""
+        get, merged = self.ranks.get, self.merged
+        after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
+        heap = [(rank, i, *pair) for i, pair in enumerate(zip(ids, ids[1:])) if (rank := get(pair)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = merges[a, b][1], -1
+            ids[i], ids[j] = merged[rank], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (found := merges.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (found[0], left, ids[left], ids[right]))
+                if left >= 0 and right >= 0 and (rank := get((ids[left], ids[right]))) is not None:
+                    heapq.heappush(heap, (rank, left, ids[left], ids[right]))
         return [i for i in ids if i >= 0]
 
     def propose(self, word: bytes) -> list[int]:
@@ -103,9 +124,8 @@ class Bpe:
             if len(self.known) + len(new) > CACHED_PAIRS:
                 keep = np.isin(self.known, codes)
                 self.known, self.fits = self.known[keep], self.fits[keep]
-            every = np.concatenate([self.known, new])
-            order = np.argsort(every)
-            self.known, self.fits = every[order], np.concatenate([self.fits, np.array(verdict, dtype=bool)])[order]
+            at = np.searchsorted(self.known, new)
+            self.known, self.fits = np.insert(self.known, at, new), np.insert(self.fits, at, verdict)
         return self.fits[np.searchsorted(self.known, codes)][back]
 
     def learn(self, words: Iterable[str]) -> None:
@@ -134,10 +154,12 @@ class Bpe:
         """The ids of each text, as the vocabulary's own library gives them; null is empty."""
         for start, end in _chunks(texts):
             split = [self._split(t or "") for t in texts[start:end]]
-            if len(self.cache) > CACHED_WORDS:
-                self.cache.clear()
+            if len(self.cache) > CACHED_WORDS:  # the words in use come back from the older half
+                self.older, self.cache = self.cache, {}
             if missing := set().union(*(set(words) for words, _ in split)).difference(self.cache):
-                self.learn(missing)
+                self.cache.update((w, self.older[w]) for w in missing if w in self.older)
+                if missing := missing.difference(self.cache):
+                    self.learn(missing)
             for words, added in split:
                 if not added:
                     yield list(chain.from_iterable(map(self.cache.__getitem__, words)))
@@ -181,43 +203,57 @@ def _shared(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", keep_text: bool = False) -> DataFrame:
-    """``df`` with its text column replaced by (or, with ``keep_text``, followed by) the array of token ids.
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *found])))
 
-    Null and empty texts have no ids. Repeated rows stay; other columns pass through.
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """``df`` with its text column replaced by the array of token ids and, if ``decoded`` names it, their text again.
+
+    Null and empty texts have no ids and decode to an empty text. Repeated rows stay; other columns pass
+    through. A text is encoded whole; a batch is handed on 500 rows at a time.
     """
     file, ids = _shared(df, path), fresh(df, ids)
-    kept = [f for f in df.schema if keep_text or f.name != text]
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    kept = [f for f in df.schema if f.name != text]
+    more = [T.StructField(decoded, T.StringType())] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(file.value)
-        for batch in batches:
-            found = [np.array(x, dtype=np.int32) for x in bpe.encode_batch(batch.column(text).to_pylist())]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            values = pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *found]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.ListArray.from_arrays(pa.array(ends), values)], names=[*[f.name for f in kept], ids])
+        for batch in _slices(batches):
+            found, texts = [], []
+            for tokens in bpe.encode_batch(batch.column(text).to_pylist()):
+                found.append(np.array(tokens, dtype=np.int32))
+                if decoded:
+                    texts.append(bpe.decode(found[-1].tolist()))
+            columns = [*[batch.column(f.name) for f in kept], _lists(found), *([pa.array(texts, pa.string())] if decoded else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in kept], ids, *([decoded] if decoded else [])])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *more]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of its token ids; a null array gives null."""
     file, text = _shared(df, path), fresh(df, text)
-    schema = T.StructType([*df.schema, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(file.value)
-        for batch in batches:
-            values = [None if x is None else bpe.decode(x) for x in batch.column(ids).to_pylist()]
+        for batch in _slices(batches):
+            values = [bpe.decode(x.values.to_pylist()) if x.is_valid else None for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, type=pa.string())], names=[*batch.schema.names, text])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(text, T.StringType())]))
 
 
 def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), from the ids and from the text decoded again."""
-    coded = encode(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path)
-    done = decode(coded, path)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    coded = encode(own, path, decoded="decoded")
     joined = F.array_join(F.col("token_ids").cast("array<string>"), ",")
-    return done.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
