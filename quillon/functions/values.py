@@ -18,6 +18,11 @@ def as_text(column: Column, dtype: T.DataType) -> Column:
     return column.cast("string")
 
 
+def as_text_sql(column: str, dtype: T.DataType) -> str:
+    """``as_text`` of a quoted column name, as SQL."""
+    return f"cast(try_cast({column} as decimal(38,6)) as string)" if isinstance(dtype, (T.FloatType, T.DoubleType)) else f"cast({column} as string)"
+
+
 def is_email(v: Column) -> Column:
     return v.rlike(r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}\z")
 

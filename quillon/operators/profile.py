@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,52 +10,65 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import values
-from quillon.sources.catalog import Catalog, Table, quoted
+from quillon.sources.catalog import Catalog, Table, quoted, sql_type
 
 HITS = [key for key, _, _ in values.PREDICATES]
 FIELDS = ["table", "column", "sql_type", "nullable", "is_key", "rows", "non_null", "distinct", "mean_length", "pattern_hits"]
 LONG_VALUE = 64
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _atomic(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
 
 
-def measured(df: DataFrame) -> DataFrame:
-    """(column, rows, non_null, distinct, mean_length, pattern_hits) of every atomic column.
+def _unpivoted(table: Table) -> DataFrame:
+    """(table, column, v, n): each value of each atomic column with n = 1, and each column once with n = 0, so that a
+    table without rows has a profile too."""
+    columns = [f for f in table.data.schema if _atomic(f.dataType)]
+    if not columns:
+        raise ValueError(f"{table.name} has no column that can be profiled")
+    each = ", ".join(f"named_struct('column', {_literal(f.name)}, 'v', {values.as_text_sql(quoted(f.name), f.dataType)})" for f in columns)
+    names = ", ".join(_literal(f.name) for f in columns)
+    rows = table.data.selectExpr(f"explode(array({each})) AS x").selectExpr("x.column AS column", "x.v AS v", "1L AS n")
+    seeds = table.data.sparkSession.range(1).selectExpr(f"explode(array({names})) AS column", "CAST(NULL AS STRING) AS v", "0L AS n")
+    return rows.unionByName(seeds).withColumn("table", F.lit(table.name))
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """The counts of all tables' unpivoted rows, in two shuffles for any number of tables and columns.
 
-    The table is unpivoted and counted by (column, value) first, so that equal values meet before the
-    shuffle, distinct values are counted without an expand, and predicates run once for each distinct
-    value. Values of more than 64 characters are shuffled as a 128-bit digest with their length and
-    hits, so that texts never travel. Counts are exact but for digests that meet.
+    Rows are counted by (column, value) first, so that equal values meet before the shuffle, distinct
+    values are counted without an expand, and short values are tested once each. Values of more than 64
+    characters are shuffled as a 128-bit digest with their length and hits, so that texts never travel.
+    Counts are exact but for digests that meet.
     """
-    columns = [f for f in df.schema if _atomic(f.dataType)]
-    if not columns:
-        raise ValueError("no column can be profiled")
-    rows = df.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("column"), values.as_text(F.col(quoted(f.name)), f.dataType).alias("v")) for f in columns])).alias("x")).select("x.*")
     long = F.length("v") > LONG_VALUE
 
     def hits(v: Column) -> Column:
         return F.struct(*[F.coalesce(p(v), F.lit(False)).alias(k) for k, p, _ in values.PREDICATES])
 
-    short = F.when(~long, F.col("v"))
-    keyed = rows.select("column", short.alias("v"), F.when(long, F.struct(F.md5("v").alias("digest"), F.length("v").alias("length"), hits(F.col("v")).alias("hits"))).alias("far"))
-    counted = keyed.groupBy("column", "v", "far").agg(F.count("*").alias("n"))
+    far = F.when(long, F.struct(F.md5("v").alias("digest"), F.length("v").alias("length"), hits(F.col("v")).alias("hits")))
+    keyed = rows.select("table", "column", F.when(~long, F.col("v")).alias("v"), far.alias("far"), "n")
+    counted = keyed.groupBy("table", "column", "v", "far").agg(F.sum("n").alias("n"))
     there = F.col("v").isNotNull() | F.col("far").isNotNull()
-    found = counted.select("column", "n", there.alias("there"), F.coalesce("far.length", F.length("v")).alias("length"), F.coalesce("far.hits", hits(F.col("v"))).alias("hits"))
+    found = counted.select("table", "column", "n", there.alias("there"), F.coalesce("far.length", F.length("v")).alias("length"), F.coalesce("far.hits", hits(F.col("v"))).alias("hits"))
     filled = F.sum(F.when(F.col("there"), F.col("n")).otherwise(0))
     sums = [F.sum(F.when(F.col(f"hits.{k}"), F.col("n")).otherwise(0)).alias(k) for k in HITS]
-    by = found.groupBy("column").agg(
+    by = found.groupBy("table", "column").agg(
         F.sum("n").alias("rows"), filled.alias("non_null"), F.count_if("there").alias("distinct"),
         F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("length")), filled), F.lit(0.0)).alias("mean_length"), *sums,
     )
     hit_map = F.create_map(*[x for k in HITS for x in (F.lit(k), F.col(k))])
-    measured = by.select("column", "rows", "non_null", "distinct", "mean_length", hit_map.alias("pattern_hits"))
-    # a table without rows has a profile too
-    none = F.create_map(*[x for k in HITS for x in (F.lit(k), F.lit(0).cast("long"))])
-    names = df.sparkSession.createDataFrame([(f.name,) for f in columns], "column string")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return names.join(measured, "column", "left").select("column", zero("rows"), zero("non_null"), zero("distinct"), F.coalesce("mean_length", F.lit(0.0)).alias("mean_length"), F.coalesce("pattern_hits", none).alias("pattern_hits"))
+    return by.select("table", "column", "rows", "non_null", "distinct", "mean_length", hit_map.alias("pattern_hits"))
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """(column, rows, non_null, distinct, mean_length, pattern_hits) of every atomic column of one table."""
+    return _measured(_unpivoted(Table("t", df))).drop("table")
 
 
 def measured_wide(df: DataFrame) -> DataFrame:
@@ -72,13 +86,15 @@ def measured_wide(df: DataFrame) -> DataFrame:
 
 def profiled(table: Table) -> DataFrame:
     """The profile of a table with what the catalog says of its columns: ``FIELDS``. Counts only, no values."""
-    spark = table.data.sparkSession
-    known = Catalog(spark).add(table).columns().drop("position")
-    return known.join(measured(table.data), "column").select(*FIELDS)
+    return warehouse_profile(Catalog(table.data.sparkSession).add(table))
 
 
 def warehouse_profile(catalog: Catalog) -> DataFrame:
-    return reduce(DataFrame.unionByName, [profiled(t) for t in catalog.tables.values()])
+    """The profiles of all tables: one scan of each, one plan for all."""
+    found = _measured(reduce(DataFrame.unionByName, map(_unpivoted, catalog.tables.values())))
+    known = {f"{t.name}\x1f{f.name}": {"sql_type": sql_type(f.dataType), "nullable": t.nullable(f.name), "is_key": f.name in t.key} for t in catalog.tables.values() for f in t.data.schema if _atomic(f.dataType)}
+    facts = F.from_json(F.lit(json.dumps(known)), "map<string, struct<sql_type: string, nullable: boolean, is_key: boolean>>")
+    return found.withColumn("fact", facts[F.concat_ws("\x1f", "table", "column")]).select("*", "fact.*").select(*FIELDS)
 
 
 def disagreements(a: DataFrame, b: DataFrame) -> DataFrame:

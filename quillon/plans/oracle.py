@@ -138,6 +138,6 @@ def residual(source: str, keys: list[str], weight: str | None = None) -> str:
 
 def uniqueness(source: str, columns: list[str]) -> str:
     cells = " * ".join(f"(SELECT count(*) FROM (SELECT DISTINCT {c} FROM {source}))" for c in columns)
-    return f"""SELECT *, measured - uniform AS shape_effect FROM (SELECT *, unique_rows / rows AS measured, CASE WHEN rows = 0 THEN 0 ELSE pow(1 - 1 / cells, rows - 1) END AS uniform FROM (
+    return f"""SELECT * REPLACE (round(measured, 12) AS measured, round(uniform, 12) AS uniform), round(measured - uniform, 12) + 0.0::DOUBLE AS shape_effect FROM (SELECT *, unique_rows / rows AS measured, CASE WHEN rows = 0 THEN 0 ELSE pow(1 - 1 / cells, rows - 1) END AS uniform FROM (
   SELECT {len(columns)} AS columns, sum(s)::BIGINT AS rows, count(*) AS combinations, count(*) FILTER (s = 1) AS unique_rows, min(s) AS k, CAST({cells} AS DOUBLE) AS cells
   FROM (SELECT count(*) AS s FROM {source} GROUP BY {', '.join(columns)})))"""

@@ -237,14 +237,19 @@ def _(spark, d):
 SWEPT = ["c_mktsegment", "c_nationkey", "c_acctbal"]
 
 
+def _shares(df: DataFrame) -> DataFrame:
+    """Shares to twelve decimals: the engines' powers differ in the last bit."""
+    return df.withColumns({c: F.round(c, 12) + F.lit(0.0) for c in ("measured", "uniform", "shape_effect")})
+
+
 @query("uniqueness_sweep", " UNION ALL ".join(oracle.uniqueness("customer", SWEPT[: i + 1]) for i in range(3)))
 def _(spark, d):
-    return kanon.sweep(tables.load(spark, d, "customer"), SWEPT)
+    return _shares(kanon.sweep(tables.load(spark, d, "customer"), SWEPT))
 
 
 @query("uniqueness_with_nulls", oracle.uniqueness(NULLED, ["o_orderstatus", "o_orderpriority"]).replace("2 AS columns, ", "").replace("SELECT *, measured", "SELECT *, measured"))
 def _(spark, d):
-    return kanon.uniqueness(tables.with_nulls(tables.load(spark, d, "orders")), ["o_orderstatus", "o_orderpriority"])
+    return _shares(kanon.uniqueness(tables.with_nulls(tables.load(spark, d, "orders")), ["o_orderstatus", "o_orderpriority"]))
 
 
 @query("cardinalities", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS \"values\" FROM (SELECT DISTINCT {c} FROM {NULLED})" for c in ("o_orderstatus", "o_orderpriority", "o_custkey")))
@@ -277,16 +282,22 @@ def _profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.warehouse_profile(tables.catalog(spark, d, references=False))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A frame with a few rows for each column of the catalog, read once by the driver: what follows starts from its rows
+    and not from the tables again. It grows with the schema, not with the data."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema).coalesce(1)
+
+
 def _verdicts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(profile, evidence, verdicts); the profile, one row a column, is kept for the steps that read it again."""
-    found = _profile(spark, d).cache()
-    evidence = classify.signals(found)
-    return found, evidence, classify.warehouse(found, evidence)
+    found = _kept(_profile(spark, d))
+    evidence = _kept(classify.signals(found))
+    return found, evidence, _kept(classify.warehouse(found, evidence))
 
 
 @query("evidence", f"{EVIDENCE} SELECT \"table\", \"column\", arm, category, round(strength, 9) AS strength, round(support, 9) AS support FROM evidence")
 def _(spark, d):
-    return classify.signals(_profile(spark, d).cache()).drop("detail").withColumn("strength", F.round("strength", 9)).withColumn("support", F.round("support", 9))
+    return classify.signals(_kept(_profile(spark, d))).drop("detail").withColumn("strength", F.round("strength", 9)).withColumn("support", F.round("support", 9))
 
 
 @query("evidence_of_names", f"{EVIDENCE} SELECT \"table\", \"column\", category, strength FROM evidence WHERE arm = 'name'")
@@ -296,7 +307,7 @@ def _(spark, d):
 
 @query("verdicts_alone", f"{EVIDENCE}, {oracle.verdicts('evidence', 'alone')} SELECT * FROM alone")
 def _(spark, d):
-    found = _profile(spark, d).cache()
+    found = _kept(_profile(spark, d))
     return classify.decided(found, classify.signals(found))
 
 
@@ -307,7 +318,7 @@ def _(spark, d):
 
 @query("person_linked", f"{SETTLED} SELECT * FROM linked")
 def _(spark, d):
-    found = _profile(spark, d).cache()
+    found = _kept(_profile(spark, d))
     return classify.person_linked(classify.decided(found, classify.signals(found)))
 
 
@@ -326,7 +337,7 @@ def _ablation_sql() -> str:
 
 @query("ablation", _ablation_sql())
 def _(spark, d):
-    found = _profile(spark, d).cache()
+    found = _kept(_profile(spark, d))
     return classify.ablation(found, classify.signals(found))
 
 
@@ -568,7 +579,7 @@ def _exposures(spark: SparkSession) -> DataFrame:
 
 
 def _events_sql() -> str:
-    return oracle.values([(q, u, str(at), t, c, s) for q, u, at, t, c, s in LOG], 'query_id, "user", at, tables, columns, select_star')
+    return oracle.values([(q, u, str(at), t, c, s) for q, u, at, t, c, s in LOG], 'query_id, "user", "at", tables, columns, select_star')
 
 
 _SETS = f"""{WALK},
@@ -577,7 +588,7 @@ c AS (SELECT * FROM w WHERE origin <> node), a AS (SELECT DISTINCT origin AS add
 ct AS (SELECT origin AS address, list(DISTINCT regexp_replace(node, '\\.[^.]*$', '')) AS tables, list_sort(list(node)) AS carriers FROM c GROUP BY ALL),
 h AS (SELECT a.address, a.tbl, coalesce(ct.tables, []) AS ctables, coalesce(ct.carriers, []) AS carriers FROM a LEFT JOIN ct USING (address)),
 g AS (SELECT gr."table" AS tbl, m."user" AS u FROM {oracle.values(access_log.GRANTS, 'role, "table", privilege')} gr JOIN {oracle.values(access_log.MEMBERS, '"user", role')} m USING (role) WHERE privilege IN ('select', 'all')),
-ev AS (SELECT * FROM {_events_sql()} WHERE CAST(at AS DATE) BETWEEN DATE '{START}' AND DATE '{END}'),
+ev AS (SELECT * FROM {_events_sql()} WHERE CAST("at" AS DATE) BETWEEN DATE '{START}' AND DATE '{END}'),
 k AS (SELECT address, "user" AS u, CASE WHEN list_contains(columns, address) THEN 1 WHEN list_has_any(columns, carriers) THEN 2 WHEN select_star AND (list_contains(tables, tbl) OR list_has_any(tables, ctables)) THEN 3 END AS r FROM h, ev),
 dset AS (SELECT address, list_sort(list(DISTINCT g.u)) AS direct FROM h JOIN g USING (tbl) GROUP BY ALL),
 cset AS (SELECT address, list_sort(list(DISTINCT g.u)) AS every FROM h JOIN g ON list_contains(ctables, g.tbl) GROUP BY ALL),
@@ -619,7 +630,7 @@ def _(spark, d):
     return access.widening(_exposures(spark))
 
 
-@query("star_share", f"SELECT count(*) FILTER (select_star) AS stars, count(*) AS queries FROM {_events_sql()} WHERE CAST(at AS DATE) BETWEEN DATE '{START}' AND DATE '{END}'")
+@query("star_share", f"SELECT count(*) FILTER (select_star) AS stars, count(*) AS queries FROM {_events_sql()} WHERE CAST(\"at\" AS DATE) BETWEEN DATE '{START}' AND DATE '{END}'")
 def _(spark, d):
     return access.star_share(_log(spark)[2], START, END)
 
@@ -627,7 +638,7 @@ def _(spark, d):
 WINDOWS = [3, 7, 30, 90, 113]
 
 
-@query("retention", f"SELECT days, count(*) AS queries, count(*) FILTER (select_star) AS stars FROM {_events_sql()}, (SELECT unnest({WINDOWS})::INT AS days) WHERE CAST(at AS DATE) <= DATE '{access_log.LAST}' AND CAST(at AS DATE) > DATE '{access_log.LAST}' - days GROUP BY ALL")
+@query("retention", f"SELECT days, count(*) AS queries, count(*) FILTER (select_star) AS stars FROM {_events_sql()}, (SELECT unnest({WINDOWS})::INT AS days) WHERE CAST(\"at\" AS DATE) <= DATE '{access_log.LAST}' AND CAST(\"at\" AS DATE) > DATE '{access_log.LAST}' - days GROUP BY ALL")
 def _(spark, d):
     return access.retention(_log(spark)[2], access_log.LAST, WINDOWS)
 
@@ -646,8 +657,8 @@ def _(spark, d):
 
 
 def _queue(spark: SparkSession, d: str) -> DataFrame:
-    verdicts = _verdicts(spark, d)[2].cache()
-    policies = masking.policies(verdicts)
+    verdicts = _verdicts(spark, d)[2]
+    policies = _kept(masking.policies(verdicts))
     g = _graph(spark)
     start = policies.where("action = 'review'").select(F.concat_ws(".", "table", "column").alias("node"))
     return review.queue(verdicts, policies, lineage.carriers(g, start), lineage.column_sources(g, start))
@@ -677,7 +688,7 @@ def _(spark, d):
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
-    verdicts = _verdicts(spark, d)[2].cache()
+    verdicts = _verdicts(spark, d)[2]
     policies = masking.policies(verdicts)
     customer = masking.residual(tables.load(spark, d, "customer"), "customer", spark.createDataFrame(MASKED, POLICY)).withColumn("table", F.lit("customer"))
     refused = policies.where("action = 'review'").select("table").distinct().select("table", F.lit("a column is in review").alias("reason"))
