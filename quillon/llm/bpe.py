@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from quillon.llm.common import fresh
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-CACHED_WORDS, CACHED_PAIRS, CHUNK_CHARS = 250_000, 2_000_000, 1_000_000
+CACHED_WORDS, CACHED_PAIRS, CHUNK_CHARS = 200_000, 1_000_000, 1_000_000
 SHORT, ROWS = 48, 500  # bytes of a word that is merged in a plain list; rows that are handed on at a time
 
 
@@ -39,6 +39,7 @@ class Bpe:
         model = spec["model"]
         self.ids = {bytes(names[c] for c in token): i for token, i in model["vocab"].items()}
         self.raw = {i: b for b, i in self.ids.items()}
+        self.single = [self.ids[bytes([b])] for b in range(256)]
         self.longest = max(map(len, self.ids))
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         of = lambda name: self.ids[bytes(names[c] for c in name)]
@@ -48,20 +49,19 @@ class Bpe:
         self.raw |= {i: t.encode() for t, i in self.added.items()}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(PATTERN)
-        self.decimal = {i: str(i) for i in self.raw}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # a word's ids, four bytes each
+        self.older: dict[str, bytes] = {}
         self.known, self.fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.sound: dict[int, bool] = {}
         self.merged_exactly = 0
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the lowest rank first, the leftmost among equals."""
-        ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        ids = list(map(self.single.__getitem__, word))
         if len(ids) > SHORT:
             return self._merge_long(ids)
         get, none = self.ranks.get, len(self.merged)
-        ranks = [get(pair, none) for pair in zip(ids, ids[1:])]
+        ranks = list(map(get, zip(ids, ids[1:]), repeat(none)))
         while ranks:
             lowest = min(ranks)
             if lowest == none:
@@ -148,26 +148,26 @@ class Bpe:
         for i in np.flatnonzero(fails).tolist():
             tokens[i] = self.merge(raw[i])
         self.merged_exactly += int(fails.sum())
-        self.cache.update(zip(words, map(tuple, tokens), strict=True))
+        packed = np.fromiter(chain.from_iterable(tokens), dtype=np.int32).tobytes()
+        ends = np.cumsum([0, *map(len, tokens)]) * 4
+        self.cache.update((w, packed[a:b]) for w, a, b in zip(words, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def encode_batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, as the vocabulary's own library gives them; null is empty."""
         for start, end in _chunks(texts):
             split = [self._split(t or "") for t in texts[start:end]]
             if len(self.cache) > CACHED_WORDS:  # the words in use come back from the older half
                 self.older, self.cache = self.cache, {}
-            if missing := set().union(*(set(words) for words, _ in split)).difference(self.cache):
+            if missing := set().union(*(words for words, _ in split)).difference(self.cache):
                 self.cache.update((w, self.older[w]) for w in missing if w in self.older)
                 if missing := missing.difference(self.cache):
                     self.learn(missing)
+            get = self.cache.__getitem__
             for words, added in split:
-                if not added:
-                    yield list(chain.from_iterable(map(self.cache.__getitem__, words)))
-                    continue
-                out: list[int] = []
-                for (a, token), (b, _) in zip([(0, None), *added], [*added, (len(words), None)], strict=True):
-                    out += ([] if token is None else [token]) + list(chain.from_iterable(map(self.cache.__getitem__, words[a:b])))
-                yield out
+                pieces = list(map(get, words))
+                for place, token in reversed(added):
+                    pieces.insert(place, token.to_bytes(4, "little"))
+                yield np.frombuffer(b"".join(pieces), dtype="<i4")
 
     def _split(self, text: str) -> tuple[list[str], list[tuple[int, int]]]:
         """The words of a text, and before which of them an added token stands."""
@@ -203,6 +203,13 @@ def _shared(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _made(file) -> Bpe:
+    """The vocabulary of a broadcast file, made once in each worker: tasks that follow find its caches filled."""
+    if not hasattr(file, "made"):
+        file.made = Bpe(file.value)
+    return file.made
+
+
 def _lists(found: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *found])))
@@ -225,13 +232,13 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
     more = [T.StructField(decoded, T.StringType())] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(file.value)
+        bpe = _made(file)
         for batch in _slices(batches):
             found, texts = [], []
             for tokens in bpe.encode_batch(batch.column(text).to_pylist()):
-                found.append(np.array(tokens, dtype=np.int32))
+                found.append(tokens)
                 if decoded:
-                    texts.append(bpe.decode(found[-1].tolist()))
+                    texts.append(bpe.decode(tokens.tolist()))
             columns = [*[batch.column(f.name) for f in kept], _lists(found), *([pa.array(texts, pa.string())] if decoded else [])]
             yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in kept], ids, *([decoded] if decoded else [])])
 
@@ -243,7 +250,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
     file, text = _shared(df, path), fresh(df, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(file.value)
+        bpe = _made(file)
         for batch in _slices(batches):
             values = [bpe.decode(x.values.to_pylist()) if x.is_valid else None for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, type=pa.string())], names=[*batch.schema.names, text])
