@@ -80,5 +80,29 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+def _chat_sql() -> str:
+    """Turns and lengths straight from the table; the escaped length is the text's, one more for each backslash and each control string."""
+    marked = lambda c: " + ".join([f"length({c}) + (length({c}) - length(replace({c}, chr(92), '')))", *[f"(length({c}) - length(replace({c}, '{m}', ''))) // {len(m)}" for m in chat.CONTROL]])
+    said = "'</s>[INST] ok [/INST]'"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', {said}), (-1, 1, 'assistant', {said}))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({len(chat.OPEN + chat.MIDDLE + chat.CLOSE)} + {marked('role')} + {marked('text')})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+_LATTICE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM low"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_systematic_mix": mixing.oracle()}
+    """SQL for the small tables; all pairs of vectors are too many for it on large ones."""
+    return {"op2_e8_lattice": _LATTICE_SQL, "op3_systematic_mix": mixing.oracle(), "op6_chat_parts": _chat_sql()}
