@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import fresh
+from quillon.llm.common import fresh, small_batches
 
 # The pattern that splits text before merging, and the bytes that stand for themselves in token names.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -242,7 +242,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
             columns = [*[batch.column(f.name) for f in kept], _lists(found), *([pa.array(texts, pa.string())] if decoded else [])]
             yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in kept], ids, *([decoded] if decoded else [])])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *more]))
+    return small_batches(df).mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *more]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -255,7 +255,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
             values = [bpe.decode(x.values.to_pylist()) if x.is_valid else None for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, type=pa.string())], names=[*batch.schema.names, text])
 
-    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(text, T.StringType())]))
+    return small_batches(df).mapInArrow(run, T.StructType([*df.schema, T.StructField(text, T.StringType())]))
 
 
 def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

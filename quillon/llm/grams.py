@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import held_out
+from quillon.llm.common import held_out, small_batches
 
 WORD = re.compile(r"\w+")
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -111,6 +111,6 @@ def collected(sample: DataFrame, grams: Grams | Stems, target: list[str], seeds:
             } | {t: batch[t].astype("float64") for t in target})
 
     schema = "doc_id long, grams binary, seen string, " + ", ".join(f"{t} double" for t in target)
-    rows = sorted(sample.mapInPandas(run, schema).collect(), key=lambda r: (r["doc_id"], bytes(r["grams"])))
+    rows = sorted(small_batches(sample).mapInPandas(run, schema).collect(), key=lambda r: (r["doc_id"], bytes(r["grams"])))
     features = [np.frombuffer(bytes(r["grams"]), dtype=np.int32).astype(np.int64) for r in rows]
     return features, np.array([[r[t] for t in target] for r in rows]).reshape(-1, len(target)), [set(r["seen"].split()) for r in rows]

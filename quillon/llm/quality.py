@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh, held_out
+from quillon.llm.common import fresh, held_out, small_batches
 from quillon.llm.grams import Grams, collected, labelled_sample
 
 SAMPLE_ROWS = 6000  # the bound of the labelled sample
@@ -129,8 +129,9 @@ def scored(docs: DataFrame, model: QualityModel, text: str = "text", score: str
         model = shared.value
         for batch in batches:
             yield pd.Series([model.score(t) for t in batch], dtype="float64")
+        model.grams.cache.clear()  # a worker outlives its task
 
-    return docs.withColumn(fresh(docs, score), of(F.col(text)))
+    return small_batches(docs).withColumn(fresh(docs, score), of(F.col(text)))
 
 
 def report(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:

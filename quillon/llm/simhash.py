@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh, settled
+from quillon.llm.common import fresh, settled, small_batches
 from quillon.llm.components import connected_components
 
 SEED, BITS = 42, 64
@@ -48,7 +48,7 @@ def _simhash_column(shingle: int):
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", shingle: int = 3) -> DataFrame:
     """``docs`` with the long fingerprint of its text in place of the text."""
-    return docs.select(*[c for c in docs.columns if c != text], _simhash_column(shingle)(F.col(text)).alias(name))
+    return small_batches(docs).select(*[c for c in docs.columns if c != text], _simhash_column(shingle)(F.col(text)).alias(name))
 
 
 def _signed(bits: int) -> int:
@@ -130,7 +130,7 @@ def keep(docs: DataFrame, stays: DataFrame, doc_id: str = "doc_id", text: str =
     """
     print_, id_ = fresh(docs, "__fp"), fresh(docs, "__id")
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST))
-    marked = docs.withColumn(print_, _simhash_column(shingle)(F.col(text))).withColumn(id_, key)
+    marked = small_batches(docs).withColumn(print_, _simhash_column(shingle)(F.col(text))).withColumn(id_, key)
     wanted = stays.select(F.col("fp").alias(print_), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias(id_))
     return marked.join(wanted, [print_, id_], "left_semi").dropDuplicates([print_, id_]).drop(print_, id_)
 

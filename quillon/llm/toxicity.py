@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh, held_out
+from quillon.llm.common import fresh, held_out, small_batches
 from quillon.llm.grams import Stems, collected, labelled_sample
 
 SAMPLE_ROWS = 6000  # the bound of the labelled sample
@@ -126,8 +126,9 @@ def scored(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "tox
         chain = shared.value
         for batch in batches:
             yield pd.DataFrame([chain.probabilities(t) for t in batch], columns=list(names), dtype="float64")
+        chain.grams.cache.clear()  # a worker outlives its task
 
-    return docs.withColumn(fresh(docs, prefix), of(F.col(text)))
+    return small_batches(docs).withColumn(fresh(docs, prefix), of(F.col(text)))
 
 
 def report(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
