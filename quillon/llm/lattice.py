@@ -69,33 +69,42 @@ class Tables:
         return homes, around
 
 
-def units(values: list[bytes]) -> np.ndarray:
-    rows = np.array([np.frombuffer(v, dtype="<f8") for v in values])
+def units(values: list[bytes], kind: str) -> np.ndarray:
+    rows = np.array([np.frombuffer(v, dtype=kind) for v in values], dtype=np.float64)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v array<double>); v is null where a vector can't be compared: null, empty, zero, or with null or non-finite parts."""
-    v = F.col(embedding).cast("array<double>")
+    """(vec_id, v); v is null where a vector can't be compared: null, empty, zero, or with null or non-finite parts. Floats
+    stay floats, four bytes each until they are compared as doubles; other numbers become doubles."""
+    v = F.col(embedding) if vectors.schema[embedding].dataType.simpleString() == "array<float>" else F.col(embedding).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     return vectors.select(F.col(vec_id).alias("vec_id"), F.when(F.coalesce(fine, F.lit(False)) & F.col(vec_id).isNotNull(), v).alias("v"))
 
 
+def _kind(frame: DataFrame) -> str:
+    return "<f4" if frame.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
+
+
 def _in_cells(classes: DataFrame) -> DataFrame:
     """A row for each class, table and cell, its own and the probed ones: cid, n, v binary, cell, home."""
+    kind = _kind(classes)
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, Tables] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                raw = [np.asarray(x, dtype="<f8").tobytes() for x in batch.column("v").to_pylist()]
+                raw = [np.asarray(x, dtype=kind).tobytes() for x in batch.column("v").to_pylist()]
                 lengths = np.array([len(r) for r in raw])
                 cid, n = (np.asarray(batch.column(c)) for c in ("cid", "n"))
                 for size in np.unique(lengths):
                     own = np.flatnonzero(lengths == size)
-                    made = tables.setdefault(int(size), None) or tables.update({int(size): Tables(int(size) // 8)}) or tables[int(size)]
-                    homes, around = made.cells(units([raw[i] for i in own]))
+                    if size not in tables:
+                        tables[size] = Tables(int(size) // width)
+                    made = tables[size]
+                    homes, around = made.cells(units([raw[i] for i in own], kind))
                     keys = np.concatenate([homes[:, :, None], around], axis=2)
                     each = keys[0].size
                     home = np.tile(np.arange(1 + made.probes) == 0, (len(own), made.tables, 1)).reshape(-1)
@@ -105,10 +114,10 @@ def _in_cells(classes: DataFrame) -> DataFrame:
     return classes.mapInArrow(run, "cid long, n long, v binary, cell long, home boolean")
 
 
-def _verified(cid: np.ndarray, values: list[bytes], home: np.ndarray, part: np.ndarray, cell: int, least: float, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
+def _verified(cid: np.ndarray, values: list[bytes], home: np.ndarray, part: np.ndarray, cell: int, least: float, tables: Tables, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Indexes (a, b) of the pairs to be counted here: cosine of ``least`` or more, of different parts where there
     are two, one of them at home in the cell, and this the first cell of the first table where the two meet."""
-    unit = units(values)
+    unit = units(values, kind)
     near = unit @ unit.T >= least
     near &= (home[:, None] | home[None]) & (cid[:, None] < cid[None])
     if part.min() != part.max():
@@ -142,7 +151,7 @@ def _hubs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _compared(dealt: DataFrame, least: float) -> DataFrame:
+def _compared(dealt: DataFrame, least: float, kind: str) -> DataFrame:
     """(cid, hub, links): for rows sorted by cell and pair of chunks, how many vectors each class links to there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +170,8 @@ def _compared(dealt: DataFrame, least: float) -> DataFrame:
                     continue
                 cid, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
                 if size not in tables:
-                    tables[size] = Tables(size // 8)
-                a, b = _verified(cid, [r[2] for r in rows], home, np.array([r[4] for r in rows]), key[0], least, tables[size])
+                    tables[size] = Tables(size // np.dtype(kind).itemsize)
+                a, b = _verified(cid, [r[2] for r in rows], home, np.array([r[4] for r in rows]), key[0], least, tables[size], kind)
                 if len(a):
                     links = np.bincount(a, weights=n[b], minlength=len(rows)) + np.bincount(b, weights=n[a], minlength=len(rows))
                     hub = cid[_hubs(len(rows), a, b)]
@@ -202,7 +211,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     chunked = cells.join(hot, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunked = chunked.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
     dealt = chunked.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cid", "n", "v", "home", "part")
-    found = settled(_compared(dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j"), least))
+    found = settled(_compared(dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j"), least, _kind(rows)))
     degrees = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("cid <> hub"), "cid", "hub").select(F.col("node").alias("cid"), "root")
     settled_classes = classes.join(degrees, "cid", "left").join(roots, "cid", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "cid").alias("root"))
