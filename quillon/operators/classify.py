@@ -156,7 +156,6 @@ def ablation(profile: DataFrame, evidence: DataFrame) -> DataFrame:
 
     All sets are decided in one plan: the evidence is exploded by set, and the set is part of the address.
     """
-    spark = profile.sparkSession
     sets = F.array(*[F.struct(F.lit(label).alias("arms"), F.array(*map(F.lit, arms)).alias("members")) for label, arms in ARM_SETS])
     joined = lambda df: df.withColumn("s", F.explode(sets)).withColumn("table", F.concat_ws("\x1f", "s.arms", "table"))
     columns = joined(profile.select(*ADDRESS)).drop("s")
@@ -165,7 +164,6 @@ def ablation(profile: DataFrame, evidence: DataFrame) -> DataFrame:
     verdicts = settled(columns, chosen, person_linked(alone).withColumn("factor", F.lit(None).cast("double")))
     split = verdicts.select(F.split_part("table", F.lit("\x1f"), F.lit(1)).alias("arms"), F.split_part("table", F.lit("\x1f"), F.lit(2)).alias("table"), "column", "band")
     whole = split.where(F.col("arms") == ARM_SETS[0][0]).select("table", "column", F.col("band").alias("band_before"))
-    del spark
     return split.join(whole, ADDRESS).where("band <> band_before").select("arms", *ADDRESS, "band_before", F.col("band").alias("band_after"))
 
 

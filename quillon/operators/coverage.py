@@ -58,3 +58,22 @@ def recall(grades: DataFrame) -> DataFrame:
     """(identifiability, in_scope, found) for each level of the labels."""
     level = F.create_map(*[x for k, v in rules.IDENTIFIABILITY.items() for x in (F.lit(k), F.lit(v))])[F.col("label")]
     return grades.where("in_scope").groupBy(level.alias("identifiability")).agg(F.count("*").alias("in_scope"), F.count_if(~F.col("missed")).alias("found"))
+
+
+def sampling_grade(before: DataFrame, after: DataFrame, labels: DataFrame) -> DataFrame:
+    """(table, column, label, grade, band): what the sampling arm changes. A personal column is recovered, still missed or
+    was found before; another one is a false alarm if only sampling flags it; else it is unchanged."""
+    met = labels.join(before.select("table", "column", F.col("band").alias("b")), ["table", "column"]).join(after.select("table", "column", "band"), ["table", "column"])
+    was, now, truly = F.col("b") != "ignore", F.col("band") != "ignore", F.col("label") != "not_personal"
+    grade = F.when(truly & ~was & now, "recovered").when(truly & ~now, "still missed").when(~truly & ~was & now, "false alarm").otherwise("unchanged")
+    return met.select("table", "column", "label", grade.alias("grade"), "band")
+
+
+def planted_summary(labels: DataFrame) -> DataFrame:
+    """(identifiability, columns) of an answer key."""
+    level = F.create_map(*[x for k, v in rules.IDENTIFIABILITY.items() for x in (F.lit(k), F.lit(v))])[F.col("label")]
+    return labels.groupBy(level.alias("identifiability")).agg(F.count("*").alias("columns"))
+
+
+def under_regime(spark: SparkSession, regime: str) -> DataFrame:
+    return taxonomy(spark).where(F.array_contains("regimes", regime)).select("category")

@@ -60,7 +60,7 @@ def values(rows: list[tuple], names: str) -> str:
 
 
 def profile(table: str, keys: tuple[str, ...] = (), source: str | None = None) -> str:
-    """One row for each column of a table: the reference form, one statement a column."""
+    """One row for each column of a table, one statement a column."""
     parts = []
     for column, kind in columns_of(table):
         hits = ", ".join(f"count(*) FILTER ({p}) AS {k}_hits" for k, p in PREDICATES.items())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import values
 from quillon.operators import access, classify, coverage, kanon, lineage, masking, profile, report, review, sampling
 from quillon.plans import access_log, oracle, rules
-from quillon.sources import tables
+from quillon.sources import tables, warehouse
 from quillon.sources.catalog import Table, compared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -407,6 +407,49 @@ def _(spark, d):
     return out
 
 
+@query("sampling_grades", oracle.values([("bench.outside", "row_id", "not_personal", "unchanged", "ignore"), ("bench.outside", "travel_doc_ref", "unknown_identifier", "recovered", "review"), ("bench.outside", "payer_ref", "payment_card", "recovered", "accept"), ("bench.outside", "site_patient_ref", "unknown_identifier", "still missed", "ignore"), ("bench.outside", "request_ref", "not_personal", "false alarm", "review")], '"table", "column", label, grade, band')[1:-1])
+def _(spark, d):
+    table = warehouse.outside(spark)
+    found = _kept(profile.profiled(table))
+    sampled = sampling.signals(table.name, sampling.window(table.data, ["row_id"]))
+    before = classify.decided(found, classify.signals(found))
+    after = classify.decided(found, classify.signals(found, (*classify.ARMS, "sample"), sampled))
+    labels = spark.createDataFrame([(table.name, c, k) for c, k in warehouse.OUTSIDE.items()], "table string, column string, label string")
+    return coverage.sampling_grade(before, after, labels)
+
+
+# the planted warehouse: its verdicts with both rounds, its recall and its access to the mart
+
+
+def _planted(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    found = warehouse.planted(spark)
+    mart = "analytics.encounter_daily"
+    g = lineage.Graph.of(spark, [lineage.read(spark, warehouse.MART)], found.references())
+    grain = kanon.grain(found.tables[mart].data, lineage.weight_column(g, mart)).select(F.lit(mart).alias("table"), "factor")
+    rows = _kept(profile.warehouse_profile(found))
+    return rows, classify.warehouse(rows, _kept(classify.signals(rows)), lineage.upstream_tables(g), _kept(grain))
+
+
+@query("planted_verdicts")
+def _(spark, d):
+    return _planted(spark)[1]
+
+
+@query("planted_recall", oracle.values([("direct", 11, 11), ("quasi", 10, 10)], "identifiability, in_scope, found")[1:-1])
+def _(spark, d):
+    return coverage.recall(coverage.graded(_planted(spark)[1], warehouse.labels(spark)))
+
+
+@query("planted_labels", oracle.values(sorted((lv, sum(rules.IDENTIFIABILITY[k] == lv for c in warehouse.LABELS.values() for k in c.values())) for lv in ("direct", "quasi", "sensitive", "none")), "identifiability, columns")[1:-1])
+def _(spark, d):
+    return coverage.planted_summary(warehouse.labels(spark))
+
+
+@query("regime_categories", oracle.values([(k,) for k, _, r, _ in rules.TAXONOMY if "gdpr_special" in r], "category")[1:-1])
+def _(spark, d):
+    return coverage.under_regime(spark, "gdpr_special")
+
+
 # -- floor, clauses, labels -------------------------------------------------------------------------
 
 RE2_FLOOR = {k: p.replace(r"\s", "[:space:]").replace("[^@[:space:]]", "[^@[:space:]]") for k, p in rules.FLOOR_VALUES}

@@ -176,3 +176,23 @@ def statistics(patient: DataFrame) -> DataFrame:
     nulls = sum((F.col(quoted(c)).isNull().cast("long") for c in patient.columns), F.lit(0).cast("long"))
     counted = patient.agg(F.count("*").alias("rows"), F.countDistinct("postal_code").alias("distinct_postal"), F.sum(nulls).alias("nulls"))
     return counted.join(middle.select(median.alias("median_age")))  # one row each
+
+
+OUTSIDE = {"row_id": "not_personal", "travel_doc_ref": "unknown_identifier", "payer_ref": "payment_card", "site_patient_ref": "unknown_identifier", "request_ref": "not_personal"}
+
+
+def outside(spark: SparkSession, rows: int = 400, seed: int = 20261010) -> Table:
+    """References that no name or value rule knows: a travel document, a card written with slashes, patient codes in four
+    formats, and request codes that belong to nobody."""
+    d = _Draw("outside", seed, 0.0)
+    letters = lambda name, n: F.concat(*[F.chr((d.whole(f"{name} {i}", 26) + 65).cast("long")) for i in range(n)])
+    body = F.concat(F.lit("5"), d.digits("payer", 14))
+    card = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(body, i.cast("string"))), values.luhn), F.lit(0))
+    number = F.col("id").cast("int")
+    formats = F.array(F.concat(letters("site", 2), d.digits("s1", 6)), F.concat(d.digits("s2", 4), F.lit("-"), d.digits("s3", 4)), F.concat(d.digits("s4", 3), F.lit("/"), letters("tail", 3), d.digits("s5", 3)), F.concat(F.lit("P"), d.digits("s6", 9)))
+    made = spark.range(1, rows + 1).select(
+        F.col("id").alias("row_id"), F.concat(letters("travel", 2), d.digits("travel number", 7)).alias("travel_doc_ref"),
+        F.concat_ws("/", *[F.substring(card, k, 4) for k in (1, 5, 9, 13)]).alias("payer_ref"), F.get(formats, number % 4).alias("site_patient_ref"),
+        F.concat(letters("request", 4), d.digits("request number", 4), letters("request end", 4)).alias("request_ref"),
+    )
+    return Table("bench.outside", made, ("row_id",))
