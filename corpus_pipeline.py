@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, mixing, quality, registry, simhash, toxicity
-from quillon.llm.common import fresh, settled, table
+from quillon.llm.common import fresh, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,10 @@ ORACLE_SQL = None  # the classifiers, fingerprints and merges have no SQL; the t
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the checkpoint folder and read again."""
+    """All stages over ``documents``; what each keeps is written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = settled(docs)
+            docs = written(docs, name)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +13,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, without its lineage.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset, as in tests, a
-    temporary folder of this machine is used.
-    """
+def _shared_folder(df: DataFrame) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary folder of this machine."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, without its lineage."""
+    _shared_folder(df)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a new place in the shared folder, and read from there."""
+    path = f"{_shared_folder(df)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session that hands texts to Python 1,000 rows or 4 MB at a time, whichever is less.
 

@@ -30,3 +30,10 @@ def test_clashing_columns_stay(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns[-4:] == ["toxicity", "quality", "__fp", "__row"]
     assert docs.selectExpr("min(toxicity)", "max(quality)", "min(__fp)", "max(__row)").first() == (1, 2, 3, 4)
+
+
+def test_run_is_its_stages(spark):
+    found = corpus_pipeline.run(spark, SF)
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < found.count()
+    again = corpus_pipeline.run(spark, SF)
+    assert found.exceptAll(again).count() == again.exceptAll(found).count() == 0
