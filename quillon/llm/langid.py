@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import fresh, held_out
 
 SAMPLE_TEXTS, SAMPLE_CHARS = 60, 4000  # the bound of the labelled sample: texts of a language, characters of a text
+LANGUAGES = 1000  # the ids that are broadcast are at most those of so many languages' samples
 PIECE = 4000  # characters compressed at a time; all pieces of a text count
 NARROW = 0.01  # a lead under this share of the size is no decision
 
@@ -67,7 +68,8 @@ def trained(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHAR
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= texts).select("doc_id").distinct()
+    chosen = usable.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= texts)
+    chosen = chosen.orderBy("rank", F.xxhash64("doc_id"), "doc_id").limit(texts * LANGUAGES).select("doc_id").distinct()
     rows = usable.join(F.broadcast(chosen), "doc_id").select("lang", "doc_id", F.substring("text", 1, chars).alias("text")).distinct().collect()
     found: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
