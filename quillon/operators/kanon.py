@@ -64,12 +64,19 @@ def sweep(df: DataFrame, columns: list[str], lengths: list[int] | None = None) -
 
 def null_effect(df: DataFrame, columns: list[str]) -> DataFrame:
     """(rows, complete, measured_all, measured_complete, flattery): what leaving incomplete rows out does to the share of unique rows."""
-    def alone(part: DataFrame, name: str) -> DataFrame:
-        groups = part.groupBy(*[F.col(quoted(c)).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]).agg(F.count("*").alias("s"))
-        return groups.agg(F.sum("s").alias(f"n_{name}"), (F.count_if(F.col("s") == 1) / F.sum("s")).alias(f"measured_{name}"))
-
-    both = alone(df, "all").join(alone(df.dropna(subset=columns), "complete"))  # one row each
-    return both.select(F.col("n_all").alias("rows"), F.col("n_complete").alias("complete"), "measured_all", "measured_complete", (F.col("measured_complete") - F.col("measured_all")).alias("flattery"))
+    names = [f"c{i}" for i in range(len(columns))]
+    groups = df.groupBy(*[F.col(quoted(c)).cast("string").alias(n) for c, n in zip(columns, names, strict=True)]).agg(F.count("*").alias("s"))
+    # the groups of complete rows are those without a null in their keys, so one grouping serves both
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & F.col(n).isNotNull()
+    alone = F.col("s") == 1
+    out = groups.withColumn("whole", whole).agg(
+        F.sum("s").alias("rows"), F.coalesce(F.sum(F.when(F.col("whole"), F.col("s"))), F.lit(0)).alias("complete"),
+        F.try_divide(F.count_if(alone), F.sum("s")).alias("measured_all"),
+        F.try_divide(F.count_if(alone & F.col("whole")), F.sum(F.when(F.col("whole"), F.col("s")))).alias("measured_complete"),
+    )
+    return out.withColumn("flattery", F.col("measured_complete") - F.col("measured_all"))
 
 
 def postal_floor(df: DataFrame, column: str, floor: int = rules.POSTAL_FLOOR) -> DataFrame:

@@ -170,12 +170,13 @@ def wide(spark: SparkSession, width: int, rows: int) -> DataFrame:
 def statistics(patient: DataFrame) -> DataFrame:
     """(rows, median_age, distinct_postal, nulls): the middle of the sorted ages, not an interpolation."""
     age = F.floor(F.months_between(F.lit(TODAY).cast("date"), "birth_date") / 12)
-    ages = patient.select(age.alias("age")).where("age is not null").groupBy("age").agg(F.count("*").alias("n"))
-    middle = ages.agg(F.sort_array(F.collect_list(F.struct("age", "n"))).alias("ages"), F.sum("n").alias("total"))  # a row for each age
-    median = F.expr("aggregate(ages, named_struct('seen', 0L, 'age', cast(null as bigint)), (a, x) -> IF(a.age IS NULL AND a.seen + x.n > total div 2, named_struct('seen', a.seen + x.n, 'age', x.age), named_struct('seen', a.seen + x.n, 'age', a.age)), a -> a.age)")
     nulls = sum((F.col(quoted(c)).isNull().cast("long") for c in patient.columns), F.lit(0).cast("long"))
-    counted = patient.agg(F.count("*").alias("rows"), F.countDistinct("postal_code").alias("distinct_postal"), F.sum(nulls).alias("nulls"))
-    return counted.join(middle.select(median.alias("median_age")))  # one row each
+    ages = patient.withColumn("age", age).withColumn("nulls", nulls).groupBy("age").agg(F.count("*").alias("n"), F.sum("nulls").alias("nulls"), F.collect_set("postal_code").alias("codes"))
+    # a row for each age: the median is found by running counts over these
+    gathered = ages.agg(F.sort_array(F.collect_list(F.when(F.col("age").isNotNull(), F.struct("age", "n")))).alias("ages"), F.sum("n").alias("rows"), F.sum("nulls").alias("nulls"), F.size(F.array_distinct(F.flatten(F.collect_list("codes")))).cast("long").alias("distinct_postal"))
+    counted = gathered.withColumn("known", F.aggregate("ages", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    median = F.expr("aggregate(ages, named_struct('seen', 0L, 'age', cast(null as bigint)), (a, x) -> IF(a.age IS NULL AND a.seen + x.n > known div 2, named_struct('seen', a.seen + x.n, 'age', x.age), named_struct('seen', a.seen + x.n, 'age', a.age)), a -> a.age)")
+    return counted.select("rows", "distinct_postal", "nulls", median.alias("median_age"))
 
 
 OUTSIDE = {"row_id": "not_personal", "travel_doc_ref": "unknown_identifier", "payer_ref": "payment_card", "site_patient_ref": "unknown_identifier", "request_ref": "not_personal"}
