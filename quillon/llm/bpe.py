@@ -20,7 +20,7 @@ from quillon.llm.common import fresh, small_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-CACHED_WORDS, CACHED_PAIRS, CHUNK_CHARS = 200_000, 1_000_000, 1_000_000
+CACHED_WORDS, CACHED_PAIRS, CHUNK_CHARS = 130_000, 400_000, 300_000
 SHORT, ROWS = 48, 500  # bytes of a word that is merged in a plain list; rows that are handed on at a time
 
 
