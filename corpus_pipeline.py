@@ -44,8 +44,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix."""
-    return bpe.digest(docs, registry.vocabulary())
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix. Its workers share executors with those of
+    the earlier stages, so each keeps fewer words."""
+    return bpe.digest(docs, registry.vocabulary(), cached=40_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

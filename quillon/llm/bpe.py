@@ -33,7 +33,8 @@ def byte_names() -> dict[str, int]:
 class Bpe:
     """One vocabulary, read from the bytes of its JSON file. Caches are bounded and change no result."""
 
-    def __init__(self, file: bytes):
+    def __init__(self, file: bytes, cached: int | None = None):
+        self.cached = cached or CACHED_WORDS
         spec = json.loads(file)
         names = byte_names()
         model = spec["model"]
@@ -156,7 +157,7 @@ class Bpe:
         """The ids of each text, as the vocabulary's own library gives them; null is empty."""
         for start, end in _chunks(texts):
             split = [self._split(t or "") for t in texts[start:end]]
-            if len(self.cache) > CACHED_WORDS:  # the words in use come back from the older half
+            if len(self.cache) > self.cached:  # the words in use come back from the older half
                 self.older, self.cache = self.cache, {}
             if missing := set().union(*(words for words, _ in split)).difference(self.cache):
                 self.cache.update((w, self.older[w]) for w in missing if w in self.older)
@@ -203,10 +204,10 @@ def _shared(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _made(file) -> Bpe:
+def _made(file, cached: int | None = None) -> Bpe:
     """The vocabulary of a broadcast file, made once in each worker: tasks that follow find its caches filled."""
     if not hasattr(file, "made"):
-        file.made = Bpe(file.value)
+        file.made = Bpe(file.value, cached)
     return file.made
 
 
@@ -221,18 +222,19 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None, cached: int | None = None) -> DataFrame:
     """``df`` with its text column replaced by the array of token ids and, if ``decoded`` names it, their text again.
 
     Null and empty texts have no ids and decode to an empty text. Repeated rows stay; other columns pass
-    through. A text is encoded whole; a batch is handed on 500 rows at a time.
+    through. A text is encoded whole; a batch is handed on 500 rows at a time. ``cached`` words are kept
+    by each worker: fewer take less memory and more time, and change no result.
     """
     file, ids = _shared(df, path), fresh(df, ids)
     kept = [f for f in df.schema if f.name != text]
     more = [T.StructField(decoded, T.StringType())] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _made(file)
+        bpe = _made(file, cached)
         for batch in _slices(batches):
             found, texts = [], []
             for tokens in bpe.encode_batch(batch.column(text).to_pylist()):
@@ -258,9 +260,9 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
     return small_batches(df).mapInArrow(run, T.StructType([*df.schema, T.StructField(text, T.StringType())]))
 
 
-def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", cached: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), from the ids and from the text decoded again."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    coded = encode(own, path, decoded="decoded")
+    coded = encode(own, path, decoded="decoded", cached=cached)
     joined = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
