@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, mixing, quality, registry, simhash, toxicity
+from quillon.llm import bpe, mixing, quality, registry, shingles, toxicity
 from quillon.llm.common import fresh, table, written
 
 
@@ -31,11 +31,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, that with the smallest id; of its repeated rows one.
 
+    Near duplicates have a Jaccard of 0.8 or more over shingles of five words, or are joined by such texts.
     A group of null ids alone keeps one row of each fingerprint. Null and empty texts are one group.
     """
-    found = simhash.near_duplicates(docs)
+    found = shingles.near_duplicates(docs)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    return simhash.keep(docs, stays)
+    return shingles.keep(docs, stays)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
