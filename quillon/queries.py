@@ -118,7 +118,7 @@ def _(spark, d):
 @query("shapes", "SELECT DISTINCT c_mktsegment AS v, regexp_replace(regexp_replace(regexp_replace(c_mktsegment, '[^\\p{L}\\p{Nd}\\-./:+()@,#_ ]', '?', 'g'), '\\p{L}', 'A', 'g'), '\\p{Nd}', '9', 'g') AS shape FROM customer UNION SELECT substr(c_name, 1, 12), regexp_replace(regexp_replace(regexp_replace(substr(c_name, 1, 12), '[^\\p{L}\\p{Nd}\\-./:+()@,#_ ]', '?', 'g'), '\\p{L}', 'A', 'g'), '\\p{Nd}', '9', 'g') FROM customer")
 def _(spark, d):
     t = tables.load(spark, d, "customer")
-    v = t.select(F.col("c_mktsegment").alias("v")).union(t.select(F.substring("c_name", 1, 12))).distinct()
+    v = t.select(F.col("c_mktsegment").alias("v")).union(t.select("c_name")).distinct()
     return v.select("v", values.shape(F.col("v")).alias("shape"))
 
 
