@@ -32,11 +32,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, that with the smallest id; of its repeated rows one.
 
     Near duplicates have a Jaccard of 0.8 or more over shingles of five words, or are joined by such texts.
-    A group of null ids alone keeps one row of each fingerprint. Null and empty texts are one group.
+    A group of null ids alone keeps one row too. Null and empty texts are one group.
     """
-    found = shingles.near_duplicates(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    return shingles.keep(docs, stays)
+    return shingles.keep(docs, shingles.one_of_each(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

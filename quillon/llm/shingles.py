@@ -169,6 +169,13 @@ def links(prints: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str
     return known
 
 
+def _rooted(prints: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(fp, first, root) of every class: its smallest id, and the component it is in."""
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = connected_components(links(prints, docs, doc_id, text), "a", "b").select(F.col("node").alias("fp"), "root")
+    return classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``; component_id is the smallest id reachable over links.
 
@@ -177,13 +184,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component is null. Repeated rows stay rows. An empty table gives no rows.
     """
     prints = settled(marked(docs, doc_id, text))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(prints, docs, doc_id, text), "a", "b").select(F.col("node").alias("fp"), "root")
-    rooted = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, docs, doc_id, text)
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.select("doc_id", "fp").join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One (doc_id, fp) of each component: the smallest id, null last, and of its fingerprints the smallest."""
+    rooted = _rooted(settled(marked(docs, doc_id, text)), docs, doc_id, text)
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("first").alias("last"), F.col("first").alias("doc_id"), "fp")).alias("s"))
+    return least.select("s.doc_id", "s.fp")
+
+
 def _fingerprint_column():
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -81,3 +81,11 @@ def test_no_rows_and_null_ids(spark):
     words = " ".join(f"w{i}" for i in range(100))
     docs = spark.createDataFrame([(None, words, "en"), (None, words + " more", "en"), (None, "other", "en"), (5, words + " and", "en")], DOCS)
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in shingles.near_duplicates(docs).collect()) == [(0, 0), (0, 5), (0, 5), (5, 5)]
+
+
+def test_one_row_of_each_group_with_repeated_or_null_ids(spark):
+    words = [" ".join(f"{p}{i}" for i in range(100)) for p in "abc"]
+    repeated = [(1, words[0], "en"), (1, words[0] + " more", "en"), (1, words[0] + " more", "en"), (2, words[0] + " and", "en")]
+    nulls = [(None, words[1], "en"), (None, words[1] + " more", "en"), (None, words[1] + " and", "en"), (None, words[2], "en")]
+    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(repeated + nulls, DOCS), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in kept) == [(0, "b"), (0, "c"), (1, "a")]
