@@ -2,40 +2,87 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh, settled, small_batches
-from quillon.llm.components import connected_components
+from quillon.llm.common import BROADCAST_ROWS, listed, small_batches
 
 SEED, SHINGLE = 42, 5
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 LEAST = (4, 5)  # the least Jaccard, as a fraction so that no rounding decides
 LOWEST = -(1 << 63)  # stands for a null id in keys
-ORDER_SHARE, ORDER_HITS, ORDER_SIZE = 16, 4, 50_000  # which shingles are ranked as common; they only order, and change no result
-BROADCAST_ROWS = 300_000  # up to so many candidates are broadcast rather than shuffled
+ORDER_SHARE, ORDER_HITS, ORDER_SIZE = 32, 3, 50_000  # which shingles are ranked as common; they only order, and change no result
+SEEN = 200_000  # texts that a task remembers; bounds memory, changes nothing
+PIECE = 1 << 20  # bytes of a text that are hashed at a time
+
+_IS_SPACE = np.array([c == 0x20 or 0x09 <= c <= 0x0D for c in range(256)])
+_BYTE = np.array([xxhash.xxh64_intdigest(bytes([c]), SEED) for c in range(256)], dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C13  # odd, so that it has an inverse modulo 2 ** 64
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, ``size`` or more of each; kept by the worker, ``PIECE`` or a word's length."""
+    if not _POWERS or len(_POWERS[0]) < size:
+        size = max(size, 1 << 14, min(2 * size, PIECE))
+        _POWERS[:] = [np.cumprod(np.array([1, *[base] * size], dtype=np.uint64)) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """``raw`` cut behind spaces, after ``PIECE`` bytes each; a piece without a space goes on."""
+    start = 0
+    while len(raw) - start > PIECE and (space := SPACE.search(raw, start + PIECE)):
+        yield raw[start : space.end()]
+        start = space.end()
+    yield raw[start:]
+
+
+def word_codes(text: str | None) -> np.ndarray:
+    """A 64-bit number for each word of a whole text; words are split at ASCII white space, with A-Z lowered.
+
+    A word's number is a polynomial of its bytes modulo 2 ** 64, read off running sums of the whole piece.
+    """
+    found = [np.zeros(0, dtype=np.uint64)]
+    for piece in pieces((text or "").encode("utf-8", "surrogatepass").lower()):
+        raw = np.frombuffer(piece, dtype=np.uint8)
+        space = np.ones(len(raw) + 2, dtype=bool)
+        space[1:-1] = _IS_SPACE[raw]
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        power, inverse = _powers(len(raw))
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[raw] * power[: len(raw)], out=sums[1:])
+        found.append((sums[ends] - sums[starts]) * inverse[starts])
+    return np.concatenate(found) if len(found) > 2 else found[-1]
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The distinct XXH64 of the word shingles of a whole text, ascending.
+    """The distinct 64-bit hashes of the word shingles of a whole text, ascending.
 
     Fewer words than a shingle has make one shingle; no word (null and empty texts too) makes none.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space alone
-    if not words:
+    codes = word_codes(text)
+    if not len(codes):
         return np.zeros(0, dtype=np.int64)
-    joined = b" ".join(words)
-    starts = np.zeros(len(words) + 1, dtype=np.int64)
-    np.cumsum([len(w) + 1 for w in words], out=starts[1:])
-    k = min(size, len(words))
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), (starts[k:] - 1).tolist(), strict=True)])
-    return np.unique(np.frombuffer(hashes, dtype=np.int64))
+    k = min(size, len(codes))
+    many = len(codes) - k + 1
+    hashes = np.full(many, k, dtype=np.uint64)
+    for i in range(k):  # the order of the words counts
+        hashes ^= codes[i : many + i]
+        hashes *= np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    hashes ^= hashes >> np.uint64(32)
+    hashes = np.sort(hashes.view(np.int64))
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])]
 
 
 def fingerprint(grams: np.ndarray) -> int:
@@ -43,6 +90,14 @@ def fingerprint(grams: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(grams.tobytes(), SEED), "big", signed=True)
 
 
+def simhash_of(grams: np.ndarray) -> int:
+    """The SimHash of a set of shingles: a bit is 1 if it is set in over half of them; none makes zero."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(grams), 50_000):
+        ones += np.unpackbits(grams[at : at + 50_000].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big", signed=True)
+
+
 def prefix(grams: np.ndarray, common: np.ndarray, hits: np.ndarray) -> np.ndarray:
     """The first shingles of a set, as many as a partner can't miss all of: rare ones first, then by their hits.
 
@@ -55,9 +110,14 @@ def prefix(grams: np.ndarray, common: np.ndarray, hits: np.ndarray) -> np.ndarra
     return grams[:many]
 
 
-def _common(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *found])))
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(shingle, hits), ascending by shingle, of the most common shingles in one of ``ORDER_SHARE`` different texts."""
-    some = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,147 +131,138 @@ def _common(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, n, prefix) of every row."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(_common(own, "text"))  # ORDER_SIZE rows at most
+    """(doc_id, fp, n, sim, prefix) of every row: the fingerprint of its set, the set's size, SimHash and prefix.
+
+    A task leaves out the prefix (null) where it has just given it for the same set.
+    """
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(_common(own))  # ORDER_SIZE rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, hits = shared.value
+        seen: set[int] = set()
         for batch in batches:
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            firsts = [prefix(s, common, hits) for s in sets]
-            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], names=["doc_id", "fp", "n", "prefix"])
+            prints, firsts, valid = [fingerprint(s) for s in sets], [], []
+            for fp, s in zip(prints, sets, strict=True):
+                valid.append(fp not in seen)
+                firsts.append(prefix(s, common, hits) if valid[-1] else s[:0])
+                if len(seen) < SEEN:
+                    seen.add(fp)
+            lists = pc.if_else(pa.array(valid), _lists(firsts), pa.scalar(None, pa.list_(pa.int64())))
+            numbers = [pa.array(x, pa.int64()) for x in (prints, list(map(len, sets)), [simhash_of(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, lists], names=["doc_id", "fp", "n", "sim", "prefix"])
 
-    return small_batches(own).mapInArrow(run, "doc_id long, fp long, n long, prefix array<long>")
+    return small_batches(own).mapInArrow(run, "doc_id long, fp long, n long, sim long, prefix array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(fp, grams): the whole sets of the classes in ``wanted`` (fp, first), made again from one text of each."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def cells(prints: DataFrame) -> DataFrame:
+    """(gram, fp, n, at): the prefix shingles that different sets share, with these sets, their sizes and the
+    shingle's place in the set's order, from 1.
+
+    All shingles are dealt out once, 24 bytes each, and stream by in order; most belong to one set and go no
+    further. No task holds the sets of a shingle.
+    """
+    rows = prints.where("prefix is not null").select("fp", "n", F.posexplode("prefix").alias("at", "gram")).select("gram", "fp", F.expr("shiftleft(n, 24) + at + 1").alias("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int, int] | None = None  # the first row of the shingle at the end of the batch before, until it is given
+        gram_at, fp_at = None, None  # the last row that came by
         for batch in batches:
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "fp", "grams"])
+            gram, fp, place = (np.asarray(batch.column(c)) for c in ("gram", "fp", "place"))
+            if not len(gram):
+                continue
+            same_gram = np.concatenate([[gram_at is not None and gram[0] == gram_at], gram[1:] == gram[:-1]])
+            again = same_gram & np.concatenate([[fp_at is not None and fp[0] == fp_at], fp[1:] == fp[:-1]])
+            gram_at, fp_at = gram[-1], fp[-1]
+            gram, fp, place, more = gram[~again], fp[~again], place[~again], same_gram[~again]
+            if not len(gram):
+                continue
+            given = more | np.concatenate([more[1:], [False]])  # a shingle's first row, with another after it, and what follows
+            out = [x[given] for x in (gram, fp, place)]
+            if last is not None and more[0]:
+                out = [np.concatenate([[y], x]) for x, y in zip(out, last, strict=True)]
+            last = None if more[-1] else (gram[-1], fp[-1], place[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out[0], out[1], out[2] >> 24, out[2] & 0xFFFFFF)], names=["gram", "fp", "n", "at"])
 
-    made = small_batches(own).mapInArrow(run, "doc_id long, fp long, grams binary").withColumn("first", F.coalesce("doc_id", F.lit(LOWEST)))
-    wanted = wanted.select("fp", F.coalesce("first", F.lit(LOWEST)).alias("first"))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return made.join(wanted, ["fp", "first"], "left_semi").select("fp", "grams").dropDuplicates(["fp"])
+    return rows.repartition("gram").sortWithinPartitions("gram", "fp").mapInArrow(run, "gram long, fp long, n long, at long")
 
 
-def _shared_column():
-    """How many shingles two sets have in common."""
-    @F.pandas_udf("long")
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            yield pd.Series([len(np.intersect1d(np.frombuffer(a, dtype=np.int64), np.frombuffer(b, dtype=np.int64), assume_unique=True)) for a, b in zip(left, right, strict=True)], dtype="int64")
+def _likely(n: str, at: str, m: str, there: str):
+    """Whether two sets of n and m shingles, whose first common one stands at these places, can have the least Jaccard:
+    what follows must hold all of the ``LEAST`` share. A pair that can has such a shingle among its cells."""
+    return F.least(F.col(n) - F.col(at), F.col(m) - F.col(there)) + 1 >= F.expr(f"({LEAST[0]} * ({n} + {m}) + {sum(LEAST) - 1}) div {sum(LEAST)}")
 
-    return of
 
+def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gram, fp, n, at, root): the cells whose sets are in different components still; ``roots`` is (node, root)."""
+    placed = met.select("gram", "fp", "n", "at").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    several = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
+    return placed.join(several, "gram", "left_semi").select("gram", "fp", "n", "at", "root")
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose whole sets have the least Jaccard."""
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
-    counted = small_batches(both).select("a", "b", ((F.length("x") + F.length("y")) / 8).cast("long").alias("n"), _shared_column()("x", "y").alias("shared"))
-    return counted.where(F.col("shared") * sum(LEAST) >= F.col("n") * LEAST[0]).select("a", "b")
 
+def hub_pairs(still: DataFrame, seeds: range) -> DataFrame:
+    """(a, b): each set of a cell with one hub of the cell for each seed, if that is in another component."""
+    hub = lambda t: F.min(F.struct(F.xxhash64("fp", F.lit(t)).alias("h"), F.col("fp").alias("hub"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("root").alias("of")))
+    hubs = still.groupBy("gram").agg(*[hub(t).alias(f"h{t}") for t in seeds])
+    each = still.join(hubs, "gram").select("fp", "n", "at", "root", F.explode(F.array(*[f"h{t}" for t in seeds])).alias("s")).select("*", "s.*").drop("s")
+    return _distinct(each)
 
-def _possible(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose prefixes share enough; the others can't have the least Jaccard.
 
-    Sets of n and m shingles with ``o`` in common share at least l of their first n - o + l and m - o + l.
-    """
-    left, right = (firsts.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}")) for k in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    o = F.expr(f"({LEAST[0]} * (na + nb) + {sum(LEAST) - 1}) div {sum(LEAST)}")
-    least = F.least(F.size("pa") - F.col("na"), F.size("pb") - F.col("nb")) + o
-    return both.where(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b")
+def all_pairs(still: DataFrame) -> DataFrame:
+    """(a, b): the pairs of a cell's sets that are in different components."""
+    other = still.select("gram", F.col("fp").alias("hub"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("root").alias("of"))
+    return _distinct(still.join(other, "gram").where(F.col("fp") < F.col("hub")))
 
 
-def _likely(a: str, b: str):
-    """Whether two lengths allow the least Jaccard."""
-    return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
+def _distinct(met: DataFrame) -> DataFrame:
+    likely = met.where((F.col("root") != F.col("of")) & _likely("n", "at", "m", "there"))
+    return likely.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
 
 
-def links(prints: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b): verified links that join up all sets with the least Jaccard; ``prints`` is what ``marked`` gives, settled.
+def sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(fp, grams): the whole sets of the classes in ``wanted`` (fp, first), made again from one text of each.
 
-    Two such sets share a shingle of their prefixes. Each set is compared with one hub of each of its
-    shingles, twice with other hubs, so that a large group of near copies joins up without its pairs; then
-    all pairs on a shingle are compared whose components are still different.
+    Up to ``BROADCAST_ROWS`` ids pick the texts before they are read by Python; more are joined to the sets.
     """
-    rows = prints.select("fp", "n", F.explode("prefix").alias("gram"))
-    met = rows.groupBy("gram").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("gram")
-    cells = settled(rows.join(met, "gram", "left_semi").distinct())
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    wanted = settled(cells.select("fp").distinct().join(firsts, "fp"))
-    sets = settled(_sets(docs, wanted, doc_id, text))
-    prefixes = settled(prints.join(wanted, (prints["fp"] == wanted["fp"]) & prints["doc_id"].eqNullSafe(wanted["first"]), "left_semi").dropDuplicates(["fp"]).select("fp", "n", "prefix"))
-    known, still = None, cells.withColumn("root", F.col("fp"))
-    for turn in range(3):
-        if turn < 2:
-            hub = still.groupBy("gram").agg(F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp").alias("hub"), F.col("n").alias("m"), F.col("root").alias("of"))).alias("s")).select("gram", "s.hub", "s.m", "s.of")
-            pairs = still.join(hub, "gram").where(F.col("root") != F.col("of"))
-        else:
-            other = still.select("gram", F.col("fp").alias("hub"), F.col("n").alias("m"), F.col("root").alias("of"))
-            pairs = still.join(other, "gram").where((F.col("root") != F.col("of")) & (F.col("fp") < F.col("hub")))
-        pairs = pairs.where(_likely("n", "m")).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
-        found = _verified(_possible(pairs, prefixes), sets)
-        known = settled(found if known is None else known.unionByName(found))
-        if turn < 2:
-            roots = connected_components(known, "a", "b").select(F.col("node").alias("fp"), "root")
-            placed = cells.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-            several = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-            still = settled(placed.join(several, "gram", "left_semi"))
-    return known
-
-
-def _rooted(prints: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(fp, first, root) of every class: its smallest id, and the component it is in."""
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(prints, docs, doc_id, text), "a", "b").select(F.col("node").alias("fp"), "root")
-    return classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``; component_id is the smallest id reachable over links.
-
-    Texts with the same set of shingles share ``fp`` and are one class. Null and empty texts are one class of
-    their own. Rows with a null id take part, and get a component; where all of it have null ids the
-    component is null. Repeated rows stay rows. An empty table gives no rows.
-    """
-    prints = settled(marked(docs, doc_id, text))
-    rooted = _rooted(prints, docs, doc_id, text)
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.select("doc_id", "fp").join(rooted.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    picked = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("first"), F.col(text).cast("string").alias("text"))
+    wanted = wanted.select("fp", F.coalesce("first", F.lit(LOWEST)).alias("first"))
+    if wanted.count() <= BROADCAST_ROWS:
+        picked, wanted = picked.join(F.broadcast(wanted.select("first")), "first", "left_semi"), F.broadcast(wanted)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("first"), pa.array([fingerprint(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["first", "fp", "grams"])
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One (doc_id, fp) of each component: the smallest id, null last, and of its fingerprints the smallest."""
-    rooted = _rooted(settled(marked(docs, doc_id, text)), docs, doc_id, text)
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("first").alias("last"), F.col("first").alias("doc_id"), "fp")).alias("s"))
-    return least.select("s.doc_id", "s.fp")
+    made = small_batches(picked).mapInArrow(run, "first long, fp long, grams binary")
+    return made.join(wanted, ["fp", "first"], "left_semi").select("fp", "grams").dropDuplicates(["fp"])
 
 
-def _fingerprint_column():
-    @F.pandas_udf("long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([fingerprint(shingles(t)) for t in batch], dtype="int64")
+def possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose prefixes share enough; the others can't have the least Jaccard.
 
-    return of
+    Sets of n and m shingles with ``o`` in common share at least l of their first n - o + l and m - o + l.
+    """
+    named = listed(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    firsts = prints.where("prefix is not null").select("fp", "n", "prefix").join(named, "fp", "left_semi").dropDuplicates(["fp"])
+    left, right = (firsts.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}")) for k in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    o = F.expr(f"({LEAST[0]} * (na + nb) + {sum(LEAST) - 1}) div {sum(LEAST)}")
+    least = F.least(F.size("pa") - F.col("na"), F.size("pb") - F.col("nb")) + o
+    return both.where(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b")
 
 
-def keep(docs: DataFrame, stays: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, fp) is in ``stays``, one row for each; the columns stay as they are.
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole sets have the least Jaccard."""
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
 
-    The fingerprints are computed again, so that only one shuffle carries texts. Its key holds the id, so
-    that a large group of copies is no hot key.
-    """
-    print_, id_ = fresh(docs, "__fp"), fresh(docs, "__id")
-    rows = small_batches(docs).withColumn(print_, _fingerprint_column()(F.col(text))).withColumn(id_, F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)))
-    wanted = stays.select(F.col("fp").alias(print_), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias(id_))
-    return rows.join(wanted, [print_, id_], "left_semi").dropDuplicates([print_, id_]).drop(print_, id_)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                shared = len(np.intersect1d(np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64), assume_unique=True))
+                near.append(shared * sum(LEAST) * 8 >= (len(x) + len(y)) * LEAST[0])
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return small_batches(both).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")

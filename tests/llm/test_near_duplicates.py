@@ -1,12 +1,13 @@
 """SimHash, lattice and SpotSigs against plain versions, with the awkward rows."""
 
 import hashlib
+import os
 
 import numpy as np
 import xxhash
 
-from quillon.llm import lattice, registry, simhash, spotsigs
-from quillon.llm.components import connected_components
+from quillon.llm import common, lattice, registry, shingles, simhash, spotsigs
+from quillon.llm.components import connected_components, forest
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, fp long"
@@ -79,11 +80,39 @@ def test_simhash_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_keep_leaves_one_row_and_all_columns(spark):
-    docs = spark.createDataFrame([(1, "a b c", "en", 5), (1, "a b c", "en", 6), (2, "a b c", "de", 7), (3, None, None, None)], DOCS)
-    found = simhash.near_duplicates(docs)
-    kept = simhash.keep(docs, found.where("doc_id <=> component_id").select("doc_id", "fp").distinct())
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+def test_simhash_of_a_long_text_by_pieces(monkeypatch):
+    text = " ".join(f"word{i % 97} x\ty" for i in range(4000)) + " " + "z" * 3000
+    whole = simhash.simhash(text)
+    monkeypatch.setattr(shingles, "PIECE", 64)
+    assert simhash.simhash(text) == whole and whole & (1 << 64) - 1 == plain_simhash(text)
+    assert [simhash.simhash(t) & (1 << 64) - 1 for t in ("one", " two words")] == [plain_simhash(t) for t in ("one", " two words")]
+
+
+def test_hubs_and_hot_fingerprints_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 2)
+    links = [(i, i + 1) for i in range(1, 30)] + [(100, 100 + i) for i in range(1, 20)] + [(200, 201), (201, 202), (202, 200)]
+    frame = spark.createDataFrame(links, "a long, b long").repartition(4)
+    expected = plain_components({x for l in links for x in l}, links)
+    for one_task in (0, 1000):
+        found = connected_components(frame, "a", "b", one_task=one_task).collect()
+        assert len(found) == len(expected) and {r["node"]: r["root"] for r in found} == expected
+    docs = spark.createDataFrame([(i, "a b c d" if i % 2 else f"text {i} of its own", None, 1) for i in range(20)], DOCS)
+    rows = simhash.near_duplicates(docs).collect()
+    assert len(rows) == 20 and {r["component_id"] for r in rows if r["doc_id"] % 2} == {1}
+
+
+def test_long_forests():
+    order = np.random.default_rng(0).permutation(5000)
+    node, root = forest(order[:-1], order[1:])
+    assert (root == 0).all() and sorted(node.tolist()) == list(range(1, 5000))
+
+
+def test_scratch_leaves_no_file(spark):
+    with common.scratch() as keep:
+        made = keep(spark.range(10))
+        folder = made.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert made.count() == 10 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
 
 
 def test_nearest_points_are_lattice_points_and_nearest():
@@ -133,6 +162,43 @@ def test_lattice_rows_that_cannot_be_compared(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_lattice_takes_vectors_of_any_size_and_other_columns(spark):
+    rows = [(1, [1e200, 1e200], 1, "x"), (2, [1e200, 1.0001e200], 2, "y"), (3, [1e-320, 0.0], 3, "z"), (4, [5.0, 0.0], 4, "z")]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell int, v string")).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3)}
+
+
+def plain_signatures(text):
+    """The words' chains themselves."""
+    words = spotsigs.WORD.findall((text or "").lower())
+    found = set()
+    for i, word in enumerate(words):
+        after = [w for w in words[i + 1 :] if w not in spotsigs.ANCHORS][: spotsigs.CHAIN]
+        if word in spotsigs.ANCHORS and len(after) == spotsigs.CHAIN:
+            found.add((word, *after))
+    return found or ({tuple(words)} if words else set())
+
+
+def test_spotsigs_query_against_plain_chains(spark):
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    found = {r["doc_id"]: r for r in registry.op1_spotsigs(spark, SF).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for (doc, text), (_, following) in zip(docs, docs[1:] + docs[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        own, r = plain_signatures(text), found[doc]
+        assert len(r["fingerprint"]) == 8 * len(own)
+        assert abs(r["near_next"] - like(own, plain_signatures(following))) < 1e-12
+        assert abs(r["near_edited"] - like(own, plain_signatures(edited))) < 1e-12
+
+
+def test_spotsigs_takes_other_columns_and_long_texts(spark):
+    long = "the cat sat on the mat of a big house " * 20_000
+    docs = spark.createDataFrame([(1, long, "a", 1), (2, "x", "b", 2)], "doc_id long, text string, block string, packed int")
+    found = {r["doc_id"]: r for r in spotsigs.neighbours(docs).collect()}
+    assert found[1]["n_chars"] == len(long) and len(found) == 2
+
+
 def test_spotsigs_query_against_a_loop(spark):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     found = {r["doc_id"]: r for r in registry.op1_spotsigs(spark, SF).collect()}

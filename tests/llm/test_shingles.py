@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from quillon.llm import shingles
+from quillon.llm import shingles, simhash
+from quillon.llm.common import written
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -54,19 +57,55 @@ def fixture():
     return [(i, t, "en") for i, t in enumerate(texts)]
 
 
+def components(spark, rows):
+    """The smallest row number of each row's component, by the operator."""
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    prints = written(shingles.marked(docs), "prints")
+    roots = {r["node"]: r["root"] for r in simhash.similar_links(docs, prints).collect()}
+    of = {r["doc_id"]: roots.get(r["fp"], r["fp"]) for r in prints.collect()}
+    first = {}
+    for i in sorted(of):
+        first.setdefault(of[i], i)
+    return {i: first[r] for i, r in of.items()}
+
+
 def test_all_pairs_from_0_8_on_and_no_others(spark):
     rows = fixture()
-    docs = spark.createDataFrame(rows, DOCS).repartition(5)
-    expected = {i: min(g) for g in plain_components(rows) for i in g}
-    assert {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs).collect()} == expected
+    assert components(spark, rows) == {i: min(g) for g in plain_components(rows) for i in g}
 
 
 def test_the_order_of_shingles_changes_no_result(spark, monkeypatch):
     rows = fixture()
-    docs = spark.createDataFrame(rows, DOCS)
-    expected = {i: min(g) for g in plain_components(rows) for i in g}
     monkeypatch.setattr(shingles, "ORDER_SHARE", 1)
-    assert {r["doc_id"]: r["component_id"] for r in shingles.near_duplicates(docs).collect()} == expected
+    monkeypatch.setattr(shingles, "SEEN", 3)
+    assert components(spark, rows) == {i: min(g) for g in plain_components(rows) for i in g}
+
+
+def test_shuffles_in_place_of_broadcasts_change_no_result(spark, monkeypatch):
+    rows = fixture()
+    for module in (shingles, simhash):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 2)
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(min(g) for g in plain_components(rows))
+
+
+def test_words_are_told_apart_and_pieces_change_nothing(monkeypatch):
+    text = "Hello world  foo\tbar\n" + "z" * 50 + " hello WORLD q ab ba a b aa é É \x85x " * 3
+    codes = shingles.word_codes(text)
+    words = text.encode().lower().split()
+    assert len(codes) == len(words) and len(set(codes.tolist())) == len(set(words))
+    assert (codes[:, None] == codes[None]).tolist() == [[a == b for b in words] for a in words]
+    whole = shingles.shingles(text)
+    monkeypatch.setattr(shingles, "PIECE", 7)
+    assert (shingles.word_codes(text) == codes).all() and (shingles.shingles(text) == whole).all()
+    assert len(shingles.shingles("a b c d e f g")) == 3 and (shingles.shingles("a b c") != shingles.shingles("c b a")).all()
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "one", "a b c d e f g " * 50])
+def test_simhash_of_a_set(text):
+    grams = shingles.shingles(text)
+    ones = [sum(int(g) >> b & 1 for g in grams.byteswap().tolist()) for b in range(64)]
+    assert simhash.shingles.simhash_of(grams) & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * ones[b] > len(grams))
 
 
 def test_the_stage_drops_edited_copies(spark):
@@ -77,10 +116,10 @@ def test_the_stage_drops_edited_copies(spark):
 
 
 def test_no_rows_and_null_ids(spark):
-    assert shingles.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+    assert simhash.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
     words = " ".join(f"w{i}" for i in range(100))
     docs = spark.createDataFrame([(None, words, "en"), (None, words + " more", "en"), (None, "other", "en"), (5, words + " and", "en")], DOCS)
-    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in shingles.near_duplicates(docs).collect()) == [(0, 0), (0, 5), (0, 5), (5, 5)]
+    assert sorted((r["doc_id"] or 0, r["text"][:5]) for r in simhash.one_of_each(docs).collect()) == [(0, "other"), (5, "w0 w1")]
 
 
 def test_one_row_of_each_group_with_repeated_or_null_ids(spark):
