@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,18 +101,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: list[str], rows:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc")).drop("__doc")
 
 
-def collected(sample: DataFrame, grams: Grams | Stems, target: list[str], seeds: dict[str, list[str]] | None = None) -> tuple[list[np.ndarray], np.ndarray, list[set[str]]]:
-    """The indicators and targets of a bounded sample on the driver, and the seed words that each text has."""
-    words = sorted({w for ws in (seeds or {}).values() for w in ws})
+def fitted(sample: DataFrame, grams: Grams | Stems, target: list[str], fit: Callable[[list[np.ndarray], np.ndarray], dict]) -> dict:
+    """What ``fit(indicators, targets)`` makes of a bounded sample: plain numbers and arrays, fitted in one task.
+
+    Of a repeated id one row counts, so the task gets as many rows as the sample has ids; the driver gets the
+    result alone.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "grams": [grams.of(t).astype(np.int32).tobytes() for t in batch["text"]],
-                "seen": [" ".join(sorted({x.lower() for x in TOKEN.findall(t or "")} & set(words))) for t in batch["text"]],
-            } | {t: batch[t].astype("float64") for t in target})
-
-    schema = "doc_id long, grams binary, seen string, " + ", ".join(f"{t} double" for t in target)
-    rows = sorted(small_batches(sample).mapInPandas(run, schema).collect(), key=lambda r: (r["doc_id"], bytes(r["grams"])))
-    features = [np.frombuffer(bytes(r["grams"]), dtype=np.int32).astype(np.int64) for r in rows]
-    return features, np.array([[r[t] for t in target] for r in rows]).reshape(-1, len(target)), [set(r["seen"].split()) for r in rows]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "grams": [grams.of(t).astype(np.int32).tobytes() for t in batch["text"]]} | {t: batch[t].astype("float64") for t in target})
+        grams.cache.clear()  # a worker outlives its task
+
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, y = [], []
+        for batch in batches:
+            rows += [np.frombuffer(g, dtype=np.int32).astype(np.int64) for g in batch.column("grams").to_pylist()]
+            y += zip(*(batch.column(t).to_pylist() for t in target), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, np.array(y).reshape(-1, len(target))))], pa.binary())], names=["model"])
+
+    schema = "doc_id long, grams binary, " + ", ".join(f"{t} double" for t in target)
+    one_each = small_batches(sample).mapInPandas(run, schema).groupBy("doc_id").agg(F.min(F.struct("grams", *target)).alias("s")).select("doc_id", "s.*")
+    found = one_each.repartition(1).sortWithinPartitions("doc_id").mapInArrow(model, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([], np.zeros((0, len(target))))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import fresh, held_out, small_batches
-from quillon.llm.grams import Grams, collected, labelled_sample
+from quillon.llm.grams import Grams, fitted, labelled_sample
 
 SAMPLE_ROWS = 6000  # the bound of the labelled sample
 
@@ -69,7 +69,10 @@ def platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 @dataclass
 class QualityModel:
-    """Weights by indicator (already times the ratios), and the curve that makes a margin a probability."""
+    """Weights by indicator (already times the ratios), squared ratios, and the curve that makes a margin a probability.
+
+    ``prior`` is the only score of a sample without both classes.
+    """
 
     grams: Grams
     weights: np.ndarray
@@ -87,11 +90,23 @@ class QualityModel:
         a, b = self.curve
         return float(1 / (1 + np.exp(-np.clip(a * self.margin(self.grams.of(text)) + b, -30, 30))))
 
+    def plain(self) -> dict:
+        """Numbers and arrays alone, without the zeros: it can travel where this class isn't."""
+        at = np.flatnonzero(self.lengths).astype(np.int32)
+        return {"grams": (self.grams.bits, self.grams.order, self.grams.shapes), "at": at, "weights": self.weights[at], "lengths": self.lengths[at], "bias": self.bias, "curve": self.curve, "prior": self.prior}
+
+    @classmethod
+    def of_plain(cls, plain: dict) -> QualityModel:
+        grams = Grams(*plain["grams"])
+        weights, lengths = (np.zeros(1 << grams.bits, dtype=np.float32) for _ in range(2))
+        weights[plain["at"]], lengths[plain["at"]] = plain["weights"], plain["lengths"]
+        return cls(grams, weights, lengths, plain["bias"], plain["curve"], plain["prior"])
+
 
 def fit(rows: list[np.ndarray], y: np.ndarray, grams: Grams, folds: int = 3) -> QualityModel:
     """NB-SVM with its curve fitted on out-of-fold margins.
 
-    Without rows of both classes every score is the smoothed share of class 1 (0.5 without any rows).
+    Without ``folds`` rows of both classes every score is the smoothed share of class 1 (0.5 without any rows).
     """
     size = 1 << grams.bits
     if len(set(y.tolist())) < 2 or min((y == 0).sum(), (y == 1).sum()) < folds:
@@ -113,28 +128,34 @@ def fit(rows: list[np.ndarray], y: np.ndarray, grams: Grams, folds: int = 3) ->
     return model
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> QualityModel:
-    """The model of ``labels.quality`` on at most ``rows`` labelled documents outside the held-out fold."""
+def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
+    """The plain model of ``labels.quality`` on at most ``rows`` labelled documents outside the held-out fold."""
     grams = Grams(bits=20, order=2, shapes=True)
-    features, y, _ = collected(labelled_sample(docs, labels, ["quality"], rows), grams, ["quality"])
-    return fit(features, (y[:, 0] > 0).astype(int), grams)
+    return fitted(labelled_sample(docs, labels, ["quality"], rows), grams, ["quality"], lambda found, y: fit(found, (y[:, 0] > 0).astype(int), grams).plain())
 
 
-def scored(docs: DataFrame, model: QualityModel, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 of its whole text, null and empty texts too. Rows are never joined or shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two numbers for each of 2 ** bits indicators
+def scored(docs: DataFrame, model: dict, text: str = "text", score: str = "score") -> DataFrame:
+    """``docs`` with a score from 0 to 1 of its whole text, null and empty texts too. Rows are never joined or shuffled.
+
+    A column that is called like the score already stays as it is; the new one gets underscores.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two numbers for each indicator of the sample, 2 ** bits at most
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
+        model = QualityModel.of_plain(shared.value)
         for batch in batches:
             yield pd.Series([model.score(t) for t in batch], dtype="float64")
-        model.grams.cache.clear()  # a worker outlives its task
 
     return small_batches(docs).withColumn(fresh(docs, score), of(F.col(text)))
 
 
 def report(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``."""
+    """(doc_id, held_out, score, predicted) for every row of ``docs``.
+
+    A null or empty text has the score of a text without indicators. A null id is in no fold and no sample.
+    Repeated rows stay rows; an empty table gives no rows; empty or one-sided labels give every row the same
+    score. Other columns are ignored, whatever their names. Texts of any length are read whole.
+    """
     own = docs.select("doc_id", "text")
     return scored(own, trained(docs, labels, rows)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

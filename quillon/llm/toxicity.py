@@ -11,17 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import fresh, held_out, small_batches
-from quillon.llm.grams import Stems, collected, labelled_sample
+from quillon.llm.grams import Stems, fitted, labelled_sample
 
 SAMPLE_ROWS = 6000  # the bound of the labelled sample
 THRESHOLD = 0.5
-
-# Seed words. A labelled toxic text with one of them is a training example of the category.
-SEEDS = {
-    "insult": ["clown", "fool", "idiot", "loser", "moron", "stupid"],
-    "contempt": ["disgusting", "pathetic", "scum", "trash", "worthless"],
-}
-CHAIN = (*SEEDS, "toxic")
+GROUPS = 2  # kinds of toxic texts that the labelled sample is divided into
+CHAIN = (*(f"kind_{k + 1}" for k in range(GROUPS)), "toxic")
 
 
 @dataclass
@@ -52,8 +47,16 @@ class Chain:
             out.append(link.probability(found, out))
         return out
 
+    def plain(self) -> dict:
+        """Numbers and arrays alone: it can travel where these classes aren't."""
+        return {"grams": (self.grams.bits, self.grams.lengths), "names": self.names, "links": [(x.columns, x.weights, x.earlier, x.bias) for x in self.links]}
+
+    @classmethod
+    def of_plain(cls, plain: dict) -> Chain:
+        return cls(Stems(*plain["grams"]), plain["names"], [Link(*x) for x in plain["links"]])
 
-def _telling(rows: list[np.ndarray], y: np.ndarray, size: int, least: float = 40.0, most: int = 300) -> np.ndarray:
+
+def _telling(rows: list[np.ndarray], y: np.ndarray, size: int, least: float = 20.0, most: int = 300) -> np.ndarray:
     """The indicators whose presence and the class depend on each other most, by chi-square; at least ``least``."""
     ones, every = (np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *chosen]), minlength=size).astype(float) for chosen in ([r for r, c in zip(rows, y, strict=True) if c], rows))
     n, n1 = len(y), float(y.sum())
@@ -64,6 +67,37 @@ def _telling(rows: list[np.ndarray], y: np.ndarray, size: int, least: float = 40
     return np.sort(best[chi[best] >= least])
 
 
+def kinds(rows: list[np.ndarray], toxic: np.ndarray, size: int, groups: int = GROUPS, steps: int = 20) -> np.ndarray:
+    """A column of 0 and 1 for each kind of toxic text, the largest first.
+
+    Toxic texts are divided by the indicators that tell them from the others, by spherical k-means from
+    far-off starts. Texts without such an indicator, and all that aren't toxic, are of no kind.
+    """
+    out = np.zeros((len(rows), groups))
+    columns = _telling(rows, toxic, size) if 0 < toxic.sum() < len(toxic) else np.zeros(0, dtype=np.int64)
+    if not len(columns):
+        return out
+    x = np.array([np.isin(columns, r) for r in rows], dtype=float)
+    columns = x[toxic > 0].mean(axis=0) > x[toxic == 0].mean(axis=0)
+    own = np.flatnonzero((toxic > 0) & x[:, columns].any(axis=1))
+    x = x[own][:, columns]
+    if not len(own):
+        return out
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = [x[(x @ x.mean(axis=0)).argmax()]]
+    while len(centres) < groups:
+        centres.append(x[(x @ np.array(centres).T).max(axis=1).argmin()])
+    at = np.zeros(len(x), dtype=int)
+    for _ in range(steps):
+        at = (x @ np.array(centres).T).argmax(axis=1)
+        sums = [x[at == k].sum(axis=0) for k in range(groups)]
+        centres = [s / max(float(np.linalg.norm(s)), 1e-9) for s in sums]
+    order = np.argsort(-np.bincount(at, minlength=groups), kind="stable")
+    for k in range(groups):
+        out[own[at == order[k]], k] = 1
+    return out
+
+
 def fit_link(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, size: int, penalty: float = 0.005, steps: int = 200) -> Link:
     """Logistic regression by accelerated gradient steps on the telling indicators and the earlier probabilities."""
     if y.sum() in (0, len(y)):
@@ -107,32 +141,41 @@ def fit(rows: list[np.ndarray], y: np.ndarray, names: tuple[str, ...], grams: St
     return Chain(grams, names, links)
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Chain:
-    """The chain insult, contempt, toxic on at most ``rows`` labelled documents outside the held-out fold."""
+def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
+    """The plain chain (kinds of toxic texts, then toxic) on at most ``rows`` labelled documents outside the held-out fold."""
     grams = Stems()
-    features, y, seen = collected(labelled_sample(docs, labels, ["toxic"], rows), grams, ["toxic"], SEEDS)
-    toxic = (y[:, 0] > 0).astype(float)
-    target = np.column_stack([*[toxic * np.array([bool(s & set(words)) for s in seen], dtype=float).reshape(-1) for words in SEEDS.values()], toxic]) if len(features) else np.zeros((0, len(CHAIN)))
-    return fit(features, target, CHAIN, grams)
 
+    def chain(found: list[np.ndarray], y: np.ndarray) -> dict:
+        toxic = (y[:, 0] > 0).astype(float)
+        return fit(found, np.column_stack([kinds(found, toxic, 1 << grams.bits), toxic]), CHAIN, grams).plain()
+
+    return fitted(labelled_sample(docs, labels, ["toxic"], rows), grams, ["toxic"], chain)
+
+
+def scored(docs: DataFrame, chain: dict, text: str = "text", prefix: str = "toxicity") -> DataFrame:
+    """``docs`` with a struct of one probability for each category of the whole text; null and empty texts too.
 
-def scored(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "toxicity") -> DataFrame:
-    """``docs`` with a struct of one probability for each category of the whole text; null and empty texts too."""
+    A column that is called like the struct already stays as it is; the new one gets underscores.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # 300 weights a category at most
-    names = chain.names
+    names = chain["names"]
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        chain = shared.value
+        chain = Chain.of_plain(shared.value)
         for batch in batches:
             yield pd.DataFrame([chain.probabilities(t) for t in batch], columns=list(names), dtype="float64")
-        chain.grams.cache.clear()  # a worker outlives its task
 
     return small_batches(docs).withColumn(fresh(docs, prefix), of(F.col(text)))
 
 
 def report(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, held_out, p_<category>..., toxic) for every row of ``docs``; toxic from 0.5 on."""
+    """(doc_id, held_out, p_<category>..., toxic) for every row of ``docs``; toxic from 0.5 on.
+
+    A null or empty text has the probabilities of a text without indicators. A null id is in no fold and no
+    sample. Repeated rows stay rows; an empty table gives no rows; without toxic labels nothing is toxic. Other
+    columns are ignored, whatever their names. Texts of any length are read whole.
+    """
     own = docs.select("doc_id", "text")
     found = scored(own, trained(docs, labels, rows))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *[F.col(f"toxicity.{n}").alias(f"p_{n}") for n in CHAIN], (F.col("toxicity.toxic") >= THRESHOLD).alias("toxic"))
