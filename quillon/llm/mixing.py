@@ -55,12 +55,12 @@ CELL = ["__named", "__source", "__class", "__spread"]
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    return docs.select(own, F.col(doc_id).alias("__id"), F.col(source).isNotNull().cast("int").alias("__named"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), word_count(F.col(text)).alias("__size"))
+    own = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("__row")
+    return docs.select(own, F.col(doc_id).alias("__id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("__mark"), F.col(source).isNotNull().cast("int").alias("__named"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), word_count(F.col(text)).alias("__size"))
 
 
 def _celled(rows: DataFrame, spreads: int) -> DataFrame:
-    spread = F.expr(f"cast(pmod(pmod(coalesce(__id, -1), 1000003) * 7919, {spreads}) as int)")
+    spread = F.expr(f"cast(pmod(pmod(coalesce(__id, -1), 1000003) * 7919 + cast(conv(substr(__mark, 1, 7), 16, 10) as bigint), {spreads}) as int)")
     return rows.withColumn("__class", _size_class(F.col("__size"))).withColumn("__spread", spread)
 
 
@@ -70,7 +70,7 @@ def _stepped(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], share:
     earlier = Window.partitionBy("__named", "__source").orderBy("__class", "__spread").rowsBetween(Window.unboundedPreceding, -1)
     cells = _celled(sized, spreads).groupBy(*CELL).agg(F.count("*").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
     plan = cells.join(source_targets(sized, weights, share, cap), ["__named", "__source"])
-    rank = F.col("__base") + F.row_number().over(Window.partitionBy(*CELL).orderBy("__id"))
+    rank = F.col("__base") + F.row_number().over(Window.partitionBy(*CELL).orderBy("__id", "__size", "__mark"))
     rate = F.coalesce(F.try_divide(F.col("__target"), F.col("__source_size").cast("double")), F.lit(0.0))
     ranked = _celled(rows, spreads).join(plan, CELL).withColumn("__rank", rank).withColumn("__rate", rate)
     crossed = f"floor(__rate * __rank + {offset(seed)}D) - floor(__rate * (__rank - 1) + {offset(seed)}D)"
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """The mix itself: the rows of ``docs``, each as often as it is taken.
 
     Within its source each document expects target / size copies. The prefix sums of these run over the
-    documents in order of size class and then of a spread of the ids; with one random offset added, a
+    documents in order of size class and then of a spread of ids and texts; with one random offset added, a
     document is taken once for each integer that its own step crosses: never more than ``cap`` times,
     and, as the classes follow one another by size, the taken words stay near the target.
 
@@ -90,8 +90,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     spreads grows with the rows.
 
     Null text has size 0 and a null source is a source of its own. A null id counts as -1. Repeated rows
-    are rows of their own. An empty table gives an empty result. All columns of ``docs`` are kept as they
-    are, whatever their names.
+    are rows of their own; equal ids are ordered by size and by the MD5 of the text, so that the result depends
+    on the rows alone. Only rows with the same id, source and text may stand for one another. An empty table
+    gives an empty result. All columns of ``docs`` are kept as they are, whatever their names.
     """
     keyed = _keyed(docs, doc_id, text, source)
     taken = _stepped(keyed, settled(keyed.drop("__row")), weights, share, cap, seed).where("__copies > 0")
@@ -110,7 +111,7 @@ def oracle(documents: str = "documents", weights: tuple[int, ...] = (5, 2, 1), s
     steps = "CAST(floor(rate * rnk + {u}) AS BIGINT) - CAST(floor(rate * (rnk - 1) + {u}) AS BIGINT)".replace("{u}", f"CAST({offset(seed)} AS DOUBLE)")
     return f"""
 WITH sized AS (
-  SELECT doc_id AS id, (source IS NOT NULL)::INT AS named, coalesce(source, '') AS src,
+  SELECT doc_id AS id, md5(coalesce(text, '')) AS mark, (source IS NOT NULL)::INT AS named, coalesce(source, '') AS src,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
   FROM {documents}),
 sources AS (SELECT named, src, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL),
@@ -129,10 +130,10 @@ targets AS (
 binned AS (SELECT *, length(bin(size)) - 1 AS lg, 16 + (count(*) OVER ()) // 20000 AS spreads FROM sized),
 celled AS (
   SELECT *, lg * 8 + ((size >> greatest(lg - 3, 0)) & 7) AS class,
-         ((((coalesce(id, -1) % 1000003) + 1000003) % 1000003) * 7919) % spreads AS spread FROM binned),
+         ((((coalesce(id, -1) % 1000003) + 1000003) % 1000003) * 7919 + ('0x' || substr(mark, 1, 7))::BIGINT) % spreads AS spread FROM binned),
 ranked AS (
   SELECT c.id, c.size, t.source_size, t.target, coalesce(CASE WHEN t.source_size > 0 THEN t.target / t.source_size END, 0.0) AS rate,
-         row_number() OVER (PARTITION BY c.named, c.src ORDER BY class, spread, c.id NULLS FIRST) AS rnk
+         row_number() OVER (PARTITION BY c.named, c.src ORDER BY class, spread, c.id NULLS FIRST, c.size, mark) AS rnk
   FROM celled c JOIN targets t USING (named, src)),
 stepped AS (SELECT *, {steps} AS copies FROM ranked)
 SELECT id AS doc_id, size, source_size, target, {"copies" if copies_only else "copies, copies * size AS taken"} FROM stepped"""
