@@ -3,44 +3,38 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh, held_out
+from quillon.llm.common import fresh, held_out, listed, small_batches
 
-SAMPLE_TEXTS, SAMPLE_CHARS = 60, 4000  # the bound of the labelled sample: texts of a language, characters of a text
-LANGUAGES = 1000  # the ids that are broadcast are at most those of so many languages' samples
+SAMPLE_TEXTS, DICTIONARY = 60, 100_000  # the bound of the labelled sample: texts of a language; and bytes of its dictionary
 PIECE = 4000  # characters compressed at a time; all pieces of a text count
 NARROW = 0.01  # a lead under this share of the size is no decision
 
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())  # as \u2460, which \w takes for a letter
+NOT_LETTERS = re.compile(rf"[\W_{re.escape(_NUMBERS)}]+")
 
 
 def letters(text: str | None) -> str:
-    """The lower-case words of a whole text, without digits and marks, one space between them."""
+    """The lower-case words of a whole text, without numbers and marks, one space between them."""
     return NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
 
 
-@dataclass
-class Languages:
-    """Dictionary bytes by language; compressors are made where they are used."""
-
-    dictionaries: dict[str, bytes]
-    level: int = 6
-
-    def compressors(self) -> list[tuple[str, zstandard.ZstdCompressor]]:
-        made = []
-        for lang, content in sorted(self.dictionaries.items()):
-            shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            shared.precompute_compress(level=self.level)
-            made.append((lang, zstandard.ZstdCompressor(level=self.level, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)))
-        return made
+def compressors(dictionaries: dict[str, bytes], level: int = 6) -> list[tuple[str, zstandard.ZstdCompressor]]:
+    """One compressor for each language, by name; made where they are used."""
+    made = []
+    for lang, content in sorted(dictionaries.items()):
+        shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        shared.precompute_compress(level=level)
+        made.append((lang, zstandard.ZstdCompressor(level=level, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)))
+    return made
 
 
 def predict(text: str | None, compressors: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, bool]:
@@ -60,41 +54,53 @@ def predict(text: str | None, compressors: list[tuple[str, zstandard.ZstdCompres
     return sizes[0][1], 1.0 - 2.0 ** (-100 * lead), lead < NARROW
 
 
-def trained(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> Languages:
-    """Dictionaries of the non-null languages of ``docs``, from at most ``texts`` texts each, of ``chars`` characters each.
+def trained(docs: DataFrame, texts: int = SAMPLE_TEXTS, dictionary: int = DICTIONARY) -> dict[str, bytes]:
+    """The dictionary of each non-null language of ``docs``, from the whole of ``texts`` texts with a letter at most.
 
     Which texts depends on a hash of the id; none of the held-out fold. Only ids are ranked, cut down
-    before any shuffle, and their few texts are fetched by a broadcast of those ids.
+    before any shuffle. Of a repeated id one text counts. A language's words are joined in that order until its
+    dictionary has ``dictionary`` bytes, so that of two languages with enough text none wins by its size; a
+    language with less keeps what it has, and takes nothing from the others. The driver gets the dictionaries
+    alone: they grow with the number of languages, not with the documents.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "doc_id", "text")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= texts)
-    chosen = chosen.orderBy("rank", F.xxhash64("doc_id"), "doc_id").limit(texts * LANGUAGES).select("doc_id").distinct()
-    rows = usable.join(F.broadcast(chosen), "doc_id").select("lang", "doc_id", F.substring("text", 1, chars).alias("text")).distinct().collect()
-    found: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        found.setdefault(r["lang"], []).append(letters(r["text"]))
-    # as much for each language, so that no dictionary wins by its size
-    joined = {lang: "\n".join(parts).encode("utf-8", "surrogatepass") for lang, parts in found.items() if any(parts)}
-    size = min(map(len, joined.values()), default=0)
-    return Languages({lang: content[: max(size, 2000)] for lang, content in joined.items() if len(content) >= 8})
-
-
-def identified(docs: DataFrame, languages: Languages, text: str = "text", name: str = "language") -> DataFrame:
-    """``docs`` with a struct (lang_pred, score, rejected) of each whole text. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(languages)  # bounded by the sample
+    chosen = usable.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= texts).select("lang", "doc_id").distinct()
+    rows = usable.join(listed(chosen), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        joined = "\n".join(map(letters, own.sort_values("doc_id")["text"])).encode("utf-8", "surrogatepass")
+        while 0 < len(joined) < 8:  # the least that a dictionary may have
+            joined += b"\n" + joined
+        return pd.DataFrame({"lang": [key[0]], "content": [joined[:dictionary]]})
+
+    found = rows.groupBy("lang").applyInPandas(run, "lang string, content binary").collect()
+    return {r["lang"]: bytes(r["content"]) for r in found if r["content"]}
+
+
+def identified(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", name: str = "language") -> DataFrame:
+    """``docs`` with a struct (lang_pred, score, rejected) of each whole text. No shuffle.
+
+    A column that is called like the struct already stays as it is; the new one gets underscores.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded by the sample
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        compressors = shared.value.compressors()
+        made = compressors(shared.value)
         for batch in batches:
-            yield pd.DataFrame([predict(t, compressors) for t in batch], columns=["lang_pred", "score", "rejected"])
+            yield pd.DataFrame([predict(t, made) for t in batch], columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn(fresh(docs, name), of(F.col(text)))
+    return small_batches(docs).withColumn(fresh(docs, name), of(F.col(text)))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, rejected) for every row of ``docs``."""
+    """(doc_id, held_out, lang_pred, score, rejected) for every row of ``docs``.
+
+    Null, empty and letterless texts are ``und``; so is all where nothing is labelled. A null id is in no fold
+    and no sample. Repeated rows stay rows; an empty table gives no rows. Other columns are ignored, whatever
+    their names. Texts of any length are read whole, a piece at a time.
+    """
     own = docs.select("doc_id", "text")
     found = identified(own, trained(docs.select("doc_id", "text", "lang")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.*")
