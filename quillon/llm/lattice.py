@@ -71,6 +71,7 @@ class Tables:
 
 def units(values: list[bytes], kind: str) -> np.ndarray:
     rows = np.array([np.frombuffer(v, dtype=kind) for v in values], dtype=np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
