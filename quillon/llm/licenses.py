@@ -10,29 +10,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import settled
+from quillon.llm.common import settled, small_batches
 
-# Label, the template's words, and the key phrase that must stand in it word for word.
-BASE = [
-    ("cc-by", "cc by", "cc by"),
-    ("gpl", "general public license", "general public license"),
-    ("reserved", "all rights reserved", "all rights reserved"),
-]
+# Label, and the phrase that makes it.
+BASE = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
+
+# Label, the template's words (notices as they stand in files), and the key phrase that must stand in it word for word.
 TEMPLATES = [
+    ("agpl-3.0", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu affero general public license"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "compliance with the license"),
+    ("artistic-2.0", "licensed under the terms of the artistic license 2 0", "artistic license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-nd-4.0", "licensed under cc by nd 4 0", "cc by nd"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide", "dedicated the work to the public domain"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    ("gpl-2.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "version 2 of the license"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
+    ("gpl-3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "version 3 of the license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "distribute this software for any purpose"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "substantial portions of the software"),
     ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "source code form"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors"),
 ]
 LEAST = 0.75  # share of a template's weight that must stand at its places
 
 _SPACED = bytes(c if c >= 0x80 or chr(c).isdigit() or "a" <= chr(c) <= "z" else 0x20 for c in range(256))
-VOCABULARY = sorted({w for _, words, _ in BASE + TEMPLATES for w in words.split()})
+VOCABULARY = sorted({w for _, words, *_ in BASE + TEMPLATES for w in words.split()})
 _NUMBER = {w.encode(): i for i, w in enumerate(VOCABULARY)}
+_KNOWN = frozenset(_NUMBER)
+_KEYS = [frozenset(key.encode().split()) for *_, key in BASE + TEMPLATES]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -41,42 +58,47 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, words array<int>, places array<int>): where the licence words stand in each text."""
+    """(doc_id, n_words, seen array<int>, words array<int>, places array<int>): which licence words a text has, and where
+    they stand. A text that lacks a word of every key phrase can get no label; its places are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = _NUMBER.get
         for batch in batches:
-            counts, words, places, ends = [], [], [], [0]
+            counts, lists = [], [([], [0]) for _ in range(3)]
             for value in batch.column("text").to_pylist():
                 found = words_of(value)
-                hits = [(n, i) for i, n in enumerate(map(get, found)) if n is not None]
+                seen = _KNOWN.intersection(found)
+                hits = [(n, i) for i, n in enumerate(map(get, found)) if n is not None] if any(key <= seen for key in _KEYS) else []
                 counts.append(len(found))
-                words += [n for n, _ in hits]
-                places += [i for _, i in hits]
-                ends.append(len(places))
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (words, places)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), *lists], names=["doc_id", "n_words", "words", "places"])
+                for (values, ends), more in zip(lists, ([_NUMBER[w] for w in seen], [n for n, _ in hits], [i for _, i in hits]), strict=True):
+                    values += more
+                    ends.append(len(values))
+            arrays = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32())) for values, ends in lists]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), *arrays], names=["doc_id", "n_words", "seen", "words", "places"])
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_words long, words array<int>, places array<int>")
+    return small_batches(own).mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_words long, seen array<int>, words array<int>, places array<int>")
 
 
 def weights(found: DataFrame) -> dict[str, float]:
     """The inverse document frequency of each licence word over all of ``found``; as many numbers as the vocabulary has words."""
     total = found.count()
-    counts = {r["word"]: r["count"] for r in found.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count().collect()}
+    counts = {r["word"]: r["count"] for r in found.select(F.explode("seen").alias("word")).groupBy("word").count().collect()}
     return {w: math.log((total + 1) / (counts.get(i, 0) + 1)) + 1.0 for i, w in enumerate(VOCABULARY)}
 
 
 class Index:
-    """Templates with their words in order of falling weight and the place of their key phrase."""
+    """Templates by the rarest word of their key phrase, each with its words in order of falling weight."""
 
     def __init__(self, idf: dict[str, float]):
-        self.base = [(label, self._rarest(phrase.split(), idf)) for label, phrase, _ in BASE]
-        self.templates = []
+        self.weight = np.array([idf[w] for w in VOCABULARY])
+        self.base = [(label, self._rarest(phrase.split(), idf)) for label, phrase in BASE]
+        self.under: dict[int, list] = {}  # a text with the template's label has this word
         for label, words, key in TEMPLATES:
             parts, wanted = words.split(), key.split()
             at = next(i for i in range(len(parts)) if parts[i : i + len(wanted)] == wanted)
-            self.templates.append((label, self._rarest(parts, idf), self._rarest(wanted, idf), at))
+            phrase = self._rarest(wanted, idf)
+            self.under.setdefault(phrase[0][0], []).append((label, self._rarest(parts, idf), phrase, at))
 
     @staticmethod
     def _rarest(words: list[str], idf: dict[str, float]) -> list[tuple[int, int, float]]:
@@ -107,17 +129,18 @@ class Index:
                 starts.append(found)
                 score = 1.0
         labels = set(base)
-        for label, parts, key, at in self.templates:
-            sure = self.whole(key, where) - at  # the key phrase fixes where the template starts
-            if not len(sure):
-                continue
-            full, hit = sum(w for *_, w in parts), np.zeros(len(sure))
-            for word, offset, weight in parts:
-                if (own := where.get(word)) is not None:
-                    hit += weight * np.isin(sure + offset, own)
-            if (share := float(hit.max()) / full) >= LEAST:
-                labels.add(label)
-                score = max(score, min(1.0, share))
+        for rare in sorted(where, key=lambda n: (-self.weight[n], n)):  # the text's rarest licence words look templates up
+            for label, parts, key, at in self.under.get(rare, ()):
+                sure = self.whole(key, where) - at  # the key phrase fixes where the template starts
+                if not len(sure):
+                    continue
+                full, hit = sum(w for *_, w in parts), np.zeros(len(sure))
+                for word, offset, weight in parts:
+                    if (own := where.get(word)) is not None:
+                        hit += weight * np.isin(sure + offset, own)
+                if (share := float(hit.max()) / full) >= LEAST:
+                    labels.add(label)
+                    score = max(score, min(1.0, share))
         every = np.concatenate(starts) if starts else None
         return 0 if every is None else len(every), None if every is None else int(every.min()), None if every is None else int(every.max()), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
@@ -128,7 +151,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     A base label needs its phrase; a template's label needs the key phrase and three quarters of the
     template's weight at the right places around it. The score is the best share found, 1 with a base
     phrase, 0 without any label. Null and empty texts have no words; repeated rows stay; places may be any
-    number. Texts are read once: the weights, counted over all documents, come from their postings.
+    number; an empty table gives no rows. Other columns are ignored, whatever their names. Texts are read once
+    and whole: the weights, counted over all documents, come from their postings.
     """
     found = settled(postings(docs, doc_id, text))
     index = Index(weights(found))
