@@ -20,6 +20,7 @@ IMAGE_PATCH, AUDIO_RATE, PAGE_TOKENS = 14, 25, 256  # pixels a patch side, token
 _MARK = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _ESCAPED = re.compile(r"\\(\\?)")
 _SEGMENT = re.compile(re.escape(OPEN) + r"(.*?)" + re.escape(MIDDLE) + r"(.*)" + re.escape(CLOSE), re.S)
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document|unknown):(\d+)\|>")
 
 PART = "struct<kind string, text string, ref string, width int, height int, seconds double, pages int>"
 
@@ -76,10 +77,23 @@ def segment(role: str | None, parts: list[dict] | None) -> tuple[str, int, int,
     return head + body + CLOSE, len(head), len(head) + len(body), flat
 
 
-def read_back(formatted: str) -> tuple[str, str]:
-    """(role, text) of a turn's string."""
+def read_parts(formatted: str) -> tuple[str, list[tuple[str, str | int]]]:
+    """(role, parts) of a turn's string: ("text", text) and, for an attachment, (its kind, its position).
+
+    A placeholder is told from a text that says the same, as control strings inside texts are escaped.
+    """
     role, body = _SEGMENT.fullmatch(formatted).groups()
-    return unescape(role), unescape(body)
+    found = _PLACEHOLDER.split(body)  # text, kind, position, text, ...
+    parts: list[tuple[str, str | int]] = [("text", unescape(found[0]))] if found[0] else []
+    for kind, position, text in zip(found[1::3], found[2::3], found[3::3], strict=True):
+        parts += [(kind, int(position)), *([("text", unescape(text))] if text else [])]
+    return unescape(role), parts
+
+
+def read_back(formatted: str) -> tuple[str, str]:
+    """(role, text) of a turn's string, without its attachments."""
+    role, parts = read_parts(formatted)
+    return role, "".join(value for kind, value in parts if kind == "text")
 
 
 FORMATTED = "conv_id long, turn long, role string, formatted string, loss_start long, loss_end long, attachments array<struct<position int, kind string, ref string, tokens int>>, attachment_tokens long"
@@ -96,7 +110,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """One row for each turn (conv_id, turn, role, parts): ``FORMATTED``.
 
     A conversation is the concatenation of its turns' strings in order; loss_start and loss_end span an
-    assistant's text and are null elsewhere. Null roles and parts are empty; other columns are ignored.
+    assistant's text and are null elsewhere. Null roles and parts are empty; other columns are ignored,
+    whatever their names. An empty table gives no rows.
     Turns are formatted one by one, so a conversation of any length needs no more memory than a turn.
     """
     schema = turns.select(F.lit(None).cast("struct<" + FORMATTED.replace(" long", ": long").replace(" string", ": string").replace("attachments array", "attachments: array") + ">").alias("x")).select("x.*").schema
@@ -122,7 +137,8 @@ def digest(formatted: DataFrame) -> DataFrame:
 
     Rows are dealt out by conversation and sorted by turn (null first, equal turns by their strings), then
     hashed as they stream by: a conversation of any length takes the memory of one batch. Null ids make
-    one conversation.
+    one conversation; repeated turns are turns. An empty table gives no rows. A text of any length is one turn's
+    string.
     """
     dealt = formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
