@@ -72,10 +72,21 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op1_spotsigs`` SQL can say: doc_id, n_chars, edited_sha256."""
+    return op1_spotsigs(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op4_license_index`` SQL can say: the words and the base phrases."""
+    return op4_license_index(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_spotsigs, op2_e8_lattice, op3_systematic_mix, op4_license_index, op5_zstd_language,
         op6_chat_parts, op7_bpe_speculative, op8_toxicity_chain, op9_simhash_ball, op10_nbsvm_quality,
+        edited_texts, license_places,
     )
     return {f.__name__: f for f in found}
 
@@ -103,6 +114,28 @@ low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM low"""
 
 
+_EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lead(coalesce(text, '')) OVER (ORDER BY doc_id) AS following, first(coalesce(text, '')) OVER (ORDER BY doc_id) AS head FROM documents),
+e AS (SELECT doc_id, text, length(text) AS n, length(text) // 2 AS half, coalesce(following, head) AS other FROM d)
+SELECT doc_id, n AS n_chars, sha256(substring(text, 1, n - half) || substring(other, 1, half)) AS edited_sha256 FROM e"""
+
+
+def _places_sql() -> str:
+    """Each phrase at each start of the list of words."""
+    starts = ", ".join(
+        f"list_filter(range(0, len(w)), lambda i: {' AND '.join(f'w[i + {k + 1}] = {chr(39)}{word}{chr(39)}' for k, word in enumerate(phrase.split()))}) AS s{n}"
+        for n, (_, phrase) in enumerate(licenses.BASE)
+    )
+    count = len(licenses.BASE)
+    every = " || ".join(f"s{n}" for n in range(count))
+    labels = ", ".join(f"CASE WHEN len(s{n}) > 0 THEN '{label}' END" for n, (label, _) in enumerate(licenses.BASE))
+    return f"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+found AS (SELECT doc_id, len(w) AS n_words, {starts} FROM words)
+SELECT doc_id, n_words, len({every}) AS n_base, list_min({every}) AS first_word, list_max({every}) AS last_word,
+       array_to_string(list_sort(list_filter([{labels}], lambda x: x IS NOT NULL)), ',') AS base_labels FROM found"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the small tables; all pairs of vectors are too many for it on large ones."""
-    return {"op2_e8_lattice": _LATTICE_SQL, "op3_systematic_mix": mixing.oracle(), "op6_chat_parts": _chat_sql()}
+    return {"op2_e8_lattice": _LATTICE_SQL, "op3_systematic_mix": mixing.oracle(), "op6_chat_parts": _chat_sql(), "edited_texts": _EDITED_SQL, "license_places": _places_sql()}
