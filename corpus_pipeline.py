@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, mixing, quality, registry, shingles, toxicity
+from quillon.llm import bpe, mixing, quality, registry, simhash, toxicity
 from quillon.llm.common import fresh, table, written
 
 
@@ -34,7 +34,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near duplicates have a Jaccard of 0.8 or more over shingles of five words, or are joined by such texts.
     A group of null ids alone keeps one row too. Null and empty texts are one group.
     """
-    return shingles.keep(docs, shingles.one_of_each(docs))
+    return simhash.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
