@@ -92,3 +92,10 @@ def retention(events: DataFrame, last: dt.date, days: list[int]) -> DataFrame:
     """(days, queries, stars): what is left of the log when only the last days are kept. One pass for all windows."""
     each = events.withColumn("days", F.explode(F.array(*map(F.lit, days)))).where((F.col("at") <= F.lit(last)) & (F.col("at") > F.date_sub(F.lit(last), F.col("days"))))
     return each.groupBy("days").agg(F.count("*").alias("queries"), F.count_if("select_star").alias("stars"))
+
+
+def summary(grants: DataFrame, members: DataFrame, events: DataFrame) -> DataFrame:
+    """(grants, roles, users, queries, stars, first, last): the size of an access log."""
+    who = members.agg(F.countDistinct("role").alias("roles"), F.countDistinct("user").alias("users"))
+    said = events.agg(F.count("*").alias("queries"), F.count_if("select_star").alias("stars"), F.min("at").alias("first"), F.max("at").alias("last"))
+    return grants.agg(F.count("*").alias("grants")).join(F.broadcast(who)).join(F.broadcast(said))  # one row each

@@ -6,7 +6,7 @@ expressions, so that no join spreads them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -109,11 +109,30 @@ def rescued(verdicts: DataFrame, upstream: DataFrame, bar: float = rules.REVIEW_
     return upstream.join(sources, "source", "left_semi").join(linked.where("not linked"), "table", "left_semi").select("table").distinct()
 
 
-def warehouse(profile: DataFrame, evidence: DataFrame, upstream: DataFrame | None = None, grain: DataFrame | None = None, bar: float = rules.REVIEW_AT) -> DataFrame:
+Grain = DataFrame | Callable[[list[str]], DataFrame]
+
+
+def _factors(saved: DataFrame, grain: Grain | None) -> DataFrame:
+    """(table, factor) of the rescued tables. A function is asked once, for these tables alone, and must answer for all."""
+    if grain is None:
+        return saved.withColumn("factor", F.lit(None).cast("double"))
+    if isinstance(grain, DataFrame):
+        return saved.join(grain, "table", "left")
+    names = sorted(r["table"] for r in saved.collect())  # as many as the schema has tables
+    if not names:
+        return saved.withColumn("factor", F.lit(None).cast("double"))
+    rows = grain(names).select("table", F.col("factor").cast("double").alias("factor")).collect()
+    if silent := sorted(set(names) - {r["table"] for r in rows}):
+        raise ValueError(f"no grain for {', '.join(silent)}")
+    return saved.sparkSession.createDataFrame([(r["table"], r["factor"]) for r in rows if r["table"] in names], "table string, factor double")
+
+
+def warehouse(profile: DataFrame, evidence: DataFrame, upstream: DataFrame | None = None, grain: Grain | None = None, bar: float = rules.REVIEW_AT) -> DataFrame:
     """The verdicts of a warehouse in two rounds.
 
     Round one drops dates from tables without a person. Round two, with ``upstream``, gives them back to
-    tables derived from linked ones, weakened by ``grain`` (table, factor) where that has been measured.
+    tables derived from linked ones, weakened by ``grain``: (table, factor), or a function that measures it
+    for the tables that are rescued and for no others.
     """
     columns = profile.select(*ADDRESS)
     alone = decided(columns, evidence)
@@ -121,11 +140,30 @@ def warehouse(profile: DataFrame, evidence: DataFrame, upstream: DataFrame | Non
     if upstream is None:
         return first
     saved = rescued(first, upstream, bar)
-    factors = saved.join(grain, "table", "left") if grain is not None else saved.withColumn("factor", F.lit(None).cast("double"))
+    factors = _factors(saved, grain)
     second = settled(columns.join(saved, "table", "left_semi"), evidence, factors.select("table", F.lit(True).alias("linked"), "factor"))
     return first.join(saved, "table", "left_anti").unionByName(second)
 
 
+def reprofiled(profile: DataFrame, upstream: DataFrame, grain: Grain | None = None, bar: float = rules.REVIEW_AT) -> DataFrame:
+    """The same verdicts with every arm run again over the rescued tables: what ``warehouse`` is held against."""
+    first = warehouse(profile, signals(profile), bar=bar)
+    saved = rescued(first, upstream, bar)
+    again = profile.join(saved, "table", "left_semi")
+    linked = _factors(saved, grain).select("table", F.lit(True).alias("linked"), "factor")
+    return first.join(saved, "table", "left_anti").unionByName(settled(again.select(*ADDRESS), signals(again), linked))
+
+
+def derived_linked(verdicts: DataFrame, upstream: DataFrame, bar: float = rules.REVIEW_AT) -> DataFrame:
+    """(table, source): each rescued table with the linked tables that are the reason."""
+    linked = person_linked(verdicts, bar)
+    return upstream.join(rescued(verdicts, upstream, bar), "table", "left_semi").join(linked.where("linked").select(F.col("table").alias("source")), "source", "left_semi").select("table", "source").distinct()
+
+
+def flags(verdicts: DataFrame) -> DataFrame:
+    """(table, column, flagged, auto_masked): somebody or a policy acts on it; a policy alone does."""
+    return verdicts.select(*ADDRESS, (F.col("band") != "ignore").alias("flagged"), (F.col("band") == "accept").alias("auto_masked"))
+
 def band_counts(verdicts: DataFrame) -> DataFrame:
     """(band, columns), zeros included."""
     return counted(verdicts, "band", rules.BANDS)
@@ -145,14 +183,16 @@ def rule_coverage(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "category string, by_name boolean, by_value boolean, by_sample boolean, reachable boolean")
 
 
+# The sets of arms that are compared.
 ARM_SETS = [
     ("all arms", ("name", "value", "structure")), ("without name", ("value", "structure")), ("without value", ("name", "structure")),
     ("without structure", ("name", "value")), ("name alone", ("name",)), ("value alone", ("value",)), ("structure alone", ("structure",)),
 ]
 
 
-def ablation(profile: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(arms, table, column, band_before, band_after): columns whose band moves when arms are taken away.
+def moves(profile: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(arms, table, column, band_before, confidence_before, category_before, band_after, confidence_after, category_after):
+    columns whose band moves when arms are taken away.
 
     All sets are decided in one plan: the evidence is exploded by set, and the set is part of the address.
     """
@@ -162,9 +202,26 @@ def ablation(profile: DataFrame, evidence: DataFrame) -> DataFrame:
     chosen = joined(evidence).where(F.array_contains("s.members", F.col("arm"))).drop("s")
     alone = decided(columns, chosen)
     verdicts = settled(columns, chosen, person_linked(alone).withColumn("factor", F.lit(None).cast("double")))
-    split = verdicts.select(F.split_part("table", F.lit("\x1f"), F.lit(1)).alias("arms"), F.split_part("table", F.lit("\x1f"), F.lit(2)).alias("table"), "column", "band")
-    whole = split.where(F.col("arms") == ARM_SETS[0][0]).select("table", "column", F.col("band").alias("band_before"))
-    return split.join(whole, ADDRESS).where("band <> band_before").select("arms", *ADDRESS, "band_before", F.col("band").alias("band_after"))
+    said = ["band", "confidence", "category"]
+    split = verdicts.select(F.split_part("table", F.lit("\x1f"), F.lit(1)).alias("arms"), F.split_part("table", F.lit("\x1f"), F.lit(2)).alias("table"), "column", *said)
+    whole = split.where(F.col("arms") == ARM_SETS[0][0]).select(*ADDRESS, *[F.col(c).alias(f"{c}_before") for c in said])
+    return split.select("arms", *ADDRESS, *[F.col(c).alias(f"{c}_after") for c in said]).join(whole, ADDRESS).where("band_before <> band_after").select("arms", *ADDRESS, *[f"{c}_{when}" for when in ("before", "after") for c in said])
+
+
+def ablation(profile: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(arms, table, column, band_before, band_after)."""
+    return moves(profile, evidence).select("arms", *ADDRESS, "band_before", "band_after")
+
+
+def move_texts(moved: DataFrame) -> DataFrame:
+    """(arms, text): each move in a line."""
+    return moved.select("arms", F.format_string("%s.%s: %s %s at %.4f, then %s %s at %.4f", "table", "column", "band_before", "category_before", "confidence_before", "band_after", "category_after", "confidence_after").alias("text"))
+
+
+def decides_nothing(moved: DataFrame) -> DataFrame:
+    """(arm): arms whose removal alone moves no band, which is all that allows to leave one out."""
+    removals = [(arm, f"without {arm}") for arm in ARMS if f"without {arm}" in dict(ARM_SETS)]
+    return moved.sparkSession.createDataFrame(removals, "arm string, arms string").join(moved.select("arms"), "arms", "left_anti").select("arm")
 
 
 def threshold_sweep(verdicts: DataFrame, thresholds: Iterable[float]) -> DataFrame:

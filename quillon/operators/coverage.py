@@ -35,9 +35,9 @@ def floor(df: DataFrame, order_by: list[str], limit: int = 50) -> DataFrame:
     """(column, by_name, by_value, category) of the floor: the first name part that fits, else the first pattern that two
     thirds of the first rows' values match, else not personal. Nulls and empty values don't count."""
     rows = df.orderBy(*order_by).limit(limit)
-    each = rows.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column"), values.as_text(F.col(quoted(f.name)), f.dataType).alias("v")) for f in df.schema])))
+    each = rows.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column"), values.as_text(quoted(f.name), f.dataType).alias("v")) for f in df.schema])))
     there = F.col("v").isNotNull() & (F.col("v") != "")
-    by = each.groupBy("column").agg(F.count_if(there).alias("n"), *[F.count_if(there & F.col("v").rlike(pattern + r"\n?\z")).alias(key) for key, pattern in rules.FLOOR_VALUES])
+    by = each.groupBy("column").agg(F.count_if(there).alias("n"), *[F.count_if(there & F.col("v").rlike(pattern)).alias(key) for key, pattern in rules.FLOOR_VALUES])
     by_value = F.coalesce(*[F.when((F.col("n") > 0) & (F.col(key) * 3 >= F.col("n") * 2), F.lit(key)) for key, _ in rules.FLOOR_VALUES])
     out = by.select("column", floor_by_name(F.col("column")).alias("by_name"), by_value.alias("by_value"))
     return out.withColumn("category", F.coalesce("by_name", "by_value", F.lit("not_personal")))
@@ -60,6 +60,35 @@ def recall(grades: DataFrame) -> DataFrame:
     return grades.where("in_scope").groupBy(level.alias("identifiability")).agg(F.count("*").alias("in_scope"), F.count_if(~F.col("missed")).alias("found"))
 
 
+def headline(grades: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(in_scope, found, auto_masked, false_alarms): columns of the clause list, how many of them are flagged, how many
+    without a person's help, and what is flagged that is nobody's."""
+    met = grades.join(verdicts.select("table", "column", "band"), ["table", "column"])
+    flagged, scope = F.col("band") != "ignore", F.col("in_scope")
+    return met.agg(F.count_if(scope).alias("in_scope"), F.count_if(scope & flagged).alias("found"), F.count_if(scope & (F.col("band") == "accept")).alias("auto_masked"), F.count_if(flagged & (F.col("label") == "not_personal")).alias("false_alarms"))
+
+
+def unlabelled(columns: DataFrame, labels: DataFrame) -> DataFrame:
+    """(table, column, problem): columns without a label, labels without a column, and what is labelled twice."""
+    address = ["table", "column"]
+    missing = columns.join(labels, address, "left_anti").select(*address, F.lit("no label").alias("problem"))
+    loose = labels.join(columns, address, "left_anti").select(*address, F.lit("no column").alias("problem"))
+    twice = labels.groupBy(*address).count().where("count > 1").select(*address, F.lit("two labels").alias("problem"))
+    return missing.unionByName(loose).unionByName(twice)
+
+
+def identifying_quasi(labels: DataFrame) -> DataFrame:
+    """(table, column, label, observed): quasi identifiers that are fine enough to identify."""
+    rows = [(k, lv, place) for k, lv, place in ((k, rules.THRESHOLD.get(k), rules.FINENESS.get(rules.THRESHOLD.get(k, ""), (None, None))[1]) for k, v in rules.IDENTIFIABILITY.items() if v == "quasi")]
+    least = F.create_map(*[x for k, _, place in rows for x in (F.lit(k), F.lit(place).cast("int"))])[F.col("label")]
+    place = F.create_map(*[x for g, (_, at) in rules.FINENESS.items() for x in (F.lit(g), F.lit(at))])[F.col("observed")]
+    return labels.where(F.col("label").isin([k for k, *_ in rows]) & (least.isNull() | (place >= least))).select("table", "column", "label", "observed")
+
+
+def planted_as(labels: DataFrame, category: str) -> DataFrame:
+    return labels.where(F.col("label") == category).select("table", "column")
+
+
 def sampling_grade(before: DataFrame, after: DataFrame, labels: DataFrame) -> DataFrame:
     """(table, column, label, grade, band): what the sampling arm changes. A personal column is recovered, still missed or
     was found before; another one is a false alarm if only sampling flags it; else it is unchanged."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,11 @@ def meets(residuals: DataFrame, target: int = 2) -> DataFrame:
     return residuals.withColumn("meets", F.col("k") >= target)
 
 
+def compliant_but_identifiable(residuals: DataFrame, target: int = 2) -> DataFrame:
+    """Masked tables in which somebody can still be picked out: all was generalised as permitted, and k is under the target."""
+    return meets(residuals, target).where(~F.col("meets")).drop("meets")
+
+
 def cardinalities(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, values): distinct values, null among them."""
     each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("v")) for c in columns])
@@ -79,6 +87,12 @@ def null_effect(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("flattery", F.col("measured_complete") - F.col("measured_all"))
 
 
+def changes_sign(effects: DataFrame) -> DataFrame:
+    """(changes): whether leaving incomplete rows out flatters some measurements and not others; no effect is no direction."""
+    sign = F.signum("flattery")
+    return effects.agg(F.coalesce((F.min(sign) < 0) & (F.max(sign) > 0), F.lit(False)).alias("changes"))
+
+
 def postal_floor(df: DataFrame, column: str, floor: int = rules.POSTAL_FLOOR) -> DataFrame:
     """(areas, smallest, largest, meeting, applies): whether every area of three characters holds more people than the floor."""
     areas = df.groupBy(F.substring(F.col(quoted(column)).cast("string"), 1, 3).alias("area")).agg(F.count("*").alias("n"))
@@ -99,11 +113,22 @@ def grain(df: DataFrame, weight: str | None = None) -> DataFrame:
     return out.withColumn("factor", F.lit(1.0) if weight is None else F.col("singleton_share"))
 
 
-def rescue_floor(strength: float = rules.TEMPORAL_TYPE_STRENGTH, review_at: float = rules.REVIEW_AT) -> float:
+def rescue_floor(strength: float = rules.TEMPORAL_TYPE_STRENGTH) -> float:
     """The least factor at which a date of that strength still reaches review."""
-    if not 0 < strength <= 1:
-        raise ValueError(f"a strength of {strength} reaches no band")
-    return review_at / strength
+    return rules.weakest(strength)
+
+
+def asked(names: Iterable[str], weights: dict[str, str]) -> list[tuple[str, str]]:
+    """What the grain of these tables asks of a database: whether a weight column is there, and the grain itself."""
+    return [q for name in names for q in ([("column", name)] if name in weights else []) + [("grain", name)]]
+
+
+def confidences(tables: dict[str, DataFrame], weights: dict[str, str], names: Iterable[str]) -> DataFrame:
+    """(table, factor) of the named tables, in one plan; ``weights`` has the column that counts people where there is one."""
+    found = [grain(tables[name], weights.get(name)).select(F.lit(name).alias("table"), "factor") for name in names]
+    if not found:
+        raise ValueError("no table to measure")
+    return reduce(DataFrame.unionByName, found)
 
 
 def separates(rows: DataFrame, by: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.plans import rules
@@ -42,6 +43,18 @@ def residual(measured: DataFrame, refused: DataFrame) -> DataFrame:
     return _lines(measured, 4, F.concat(F.lit("residual k of "), "table"), said).unionByName(_lines(refused, 4, F.concat(F.lit("residual k of "), "table"), None, F.col("reason")))
 
 
+def measured_or_refused(spark: SparkSession, names: Iterable[str], measure: Callable[[str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """What ``residual`` takes: measures each table, and makes a refusal of what the measurement itself says against it."""
+    rows, refused = [], []
+    for name in names:
+        try:
+            r = measure(name).first()
+            rows.append((name, r["k"], r["singletons"], r["population"]))
+        except ValueError as error:
+            refused.append((name, str(error).split(". ")[0]))
+    return spark.createDataFrame(rows, "table string, k long, singletons long, population long"), spark.createDataFrame(refused, "table string, reason string")
+
+
 def access(sets: DataFrame) -> DataFrame:
     """Addresses that only stars may have read can't be answered, whatever anybody does now."""
     unsure = (F.size("did_read") == 0) & (F.size("did_read_at_most") > 0)
@@ -65,6 +78,11 @@ def counts(report: DataFrame) -> DataFrame:
     return report.agg(F.count("*").alias("asked"), F.count("answer").alias("answered"), F.count("refusal").alias("refused"), F.count_if(F.col("refusal").isNotNull() & ~F.col("closable")).alias("unclosable"))
 
 
+def answer_rate(report: DataFrame) -> DataFrame:
+    """(answered, asked): two numbers, as a share would hide how few questions there are."""
+    return counts(report).select("answered", "asked")
+
+
 def by_question(report: DataFrame) -> DataFrame:
     return report.where("refusal is not null").groupBy("title").agg(F.count("*").alias("refusals"))
 

@@ -14,7 +14,7 @@ from quillon.sources.catalog import quoted, sql_type
 def window(df: DataFrame, order_by: list[str] | None, limit: int = rules.SAMPLE_LIMIT) -> DataFrame:
     """(column, sql_type, v): every column of the first rows. One bounded scan serves all columns; without an order, any rows."""
     rows = (df.orderBy(*order_by) if order_by else df).limit(limit)
-    each = [F.struct(F.lit(f.name).alias("column"), F.lit(sql_type(f.dataType)).alias("sql_type"), values.as_text(F.col(quoted(f.name)), f.dataType).alias("v")) for f in df.schema]
+    each = [F.struct(F.lit(f.name).alias("column"), F.lit(sql_type(f.dataType)).alias("sql_type"), values.as_text(quoted(f.name), f.dataType).alias("v")) for f in df.schema]
     return rows.select(F.inline(F.array(*each)))
 
 
@@ -73,3 +73,11 @@ def signals(table: str, sampled: DataFrame, **thresholds) -> DataFrame:
 def unsafe_shapes(sampled: DataFrame) -> DataFrame:
     """Shapes with a character that could be part of a value; there should be none."""
     return shapes(sampled).where(F.col("shape").rlike(r"[^A9?\-./:+()@,#_ ]"))
+
+
+def cliff(sweep: DataFrame, shipped: float = rules.CODE_CONCENTRATION) -> DataFrame:
+    """(cliff): coming down from the shipped concentration, the first one of a sweep (concentration, found) that reads
+    otherwise; 0 where none does or the shipped one isn't there."""
+    base = sweep.where(F.col("concentration") == shipped).select(F.col("found").alias("base"))
+    other = sweep.where(F.col("concentration") < shipped).join(F.broadcast(base)).where("found <> base")  # one row
+    return other.agg(F.coalesce(F.max("concentration"), F.lit(0.0)).alias("cliff"))

@@ -31,13 +31,18 @@ STATEMENTS = [
 ]
 
 
-def query_log(seed: int = 20260917, queries: int = 400) -> list[tuple]:
-    """(query_id, user, at, tables, columns, select_star): a fifth are stars, which name no column."""
+STAR_RATE = 0.22
+
+
+def query_log(seed: int = 20260917, queries: int = 400, start: dt.date = FIRST, end: dt.date = LAST) -> list[tuple]:
+    """(query_id, user, at, tables, columns, select_star): some are stars, which name no column."""
+    if start > end or queries < 1:
+        raise ValueError(f"no log of {queries} queries from {start} to {end}")
     draw, users = stream(seed, "queries"), sorted({u for u, _ in MEMBERS})
     out = []
     for i in range(queries):
-        at = FIRST + dt.timedelta(days=draw.randrange((LAST - FIRST).days + 1))
-        user, star = draw.choice(users), draw.random() < 0.2
+        at = start + dt.timedelta(days=draw.randrange((end - start).days + 1))
+        user, star = draw.choice(users), draw.random() < STAR_RATE
         columns = [] if star else sorted(draw.sample(QUERIED, draw.randint(1, 2)))
         tables = [draw.choice(["customer", "orders", "mart.daily", "mart.segments"])] if star else sorted({c.rsplit(".", 1)[0] for c in columns})
         out.append((f"q{i:04d}", user, at, tables, columns, star))
