@@ -11,16 +11,25 @@ from quillon.plans import rules
 SEPARATORS = "-./:+()@,#_ "
 
 
-def as_text(column: Column, dtype: T.DataType) -> Column:
-    """The text of a value. Floating numbers are written out with six decimals, never with an exponent; NaN and infinity are null."""
+def as_text_sql(column: str, dtype: T.DataType) -> str:
+    """The text of a value of any type, for a quoted column name, as SQL.
+
+    Floating numbers are written out with six decimals, never with an exponent; NaN and infinity are null. Arrays
+    of plain values are their texts with commas between, nulls left out; maps, structs and deeper arrays are JSON;
+    binaries are hex digits.
+    """
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return column.try_cast("decimal(38,6)").cast("string")
-    return column.cast("string")
+        return f"cast(try_cast(cast({column} as double) as decimal(38,6)) as string)"
+    if isinstance(dtype, T.ArrayType) and not isinstance(dtype.elementType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
+        return f"array_join(transform({column}, e -> {as_text_sql('e', dtype.elementType)}), ',')"
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+        return f"to_json({column})"
+    return f"lower(hex({column}))" if isinstance(dtype, T.BinaryType) else f"cast({column} as string)"
 
 
-def as_text_sql(column: str, dtype: T.DataType) -> str:
-    """``as_text`` of a quoted column name, as SQL."""
-    return f"cast(try_cast({column} as decimal(38,6)) as string)" if isinstance(dtype, (T.FloatType, T.DoubleType)) else f"cast({column} as string)"
+def as_text(name: str, dtype: T.DataType) -> Column:
+    """``as_text_sql`` of a column's quoted name."""
+    return F.expr(as_text_sql(name, dtype))
 
 
 def is_email(v: Column) -> Column:

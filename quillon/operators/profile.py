@@ -21,20 +21,17 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _atomic(dtype: T.DataType) -> bool:
-    return not isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
-
-
 def _unpivoted(table: Table) -> DataFrame:
-    """(table, column, v, n): each value of each atomic column with n = 1, and each column once with n = 0, so that a
-    table without rows has a profile too."""
-    columns = [f for f in table.data.schema if _atomic(f.dataType)]
-    if not columns:
-        raise ValueError(f"{table.name} has no column that can be profiled")
+    """(table, column, v, n): each value of each column as text with n = 1, and each column once with n = 0, so that a
+    table without rows has a profile too. A table without columns gives no rows."""
+    columns = table.data.schema
+    spark = table.data.sparkSession
+    if not len(columns):
+        return spark.createDataFrame([], "column string, v string, n long, table string")
     each = ", ".join(f"named_struct('column', {_literal(f.name)}, 'v', {values.as_text_sql(quoted(f.name), f.dataType)})" for f in columns)
     names = ", ".join(_literal(f.name) for f in columns)
     rows = table.data.selectExpr(f"explode(array({each})) AS x").selectExpr("x.column AS column", "x.v AS v", "1L AS n")
-    seeds = table.data.sparkSession.range(1).selectExpr(f"explode(array({names})) AS column", "CAST(NULL AS STRING) AS v", "0L AS n")
+    seeds = spark.range(1).selectExpr(f"explode(array({names})) AS column", "CAST(NULL AS STRING) AS v", "0L AS n")
     return rows.unionByName(seeds).withColumn("table", F.lit(table.name))
 
 
@@ -67,16 +64,16 @@ def _measured(rows: DataFrame) -> DataFrame:
 
 
 def measured(df: DataFrame) -> DataFrame:
-    """(column, rows, non_null, distinct, mean_length, pattern_hits) of every atomic column of one table."""
+    """(column, rows, non_null, distinct, mean_length, pattern_hits) of every column of one table."""
     return _measured(_unpivoted(Table("t", df))).drop("table")
 
 
 def measured_wide(df: DataFrame) -> DataFrame:
     """The same by one aggregate with a column for each count: what the unpivoted form is held against."""
-    columns = [f for f in df.schema if _atomic(f.dataType)]
+    columns = list(df.schema)
     aggregates = [F.count("*").alias("rows")]
     for i, f in enumerate(columns):
-        v = values.as_text(F.col(quoted(f.name)), f.dataType)
+        v = values.as_text(quoted(f.name), f.dataType)
         aggregates += [F.count(v).alias(f"n{i}"), F.countDistinct(v).alias(f"d{i}"), F.coalesce(F.avg(F.length(v)), F.lit(0.0)).alias(f"l{i}")]
         aggregates += [F.count_if(p(v)).alias(f"{k}{i}") for k, p, _ in values.PREDICATES]
     hit_map = lambda i: F.create_map(*[x for k in HITS for x in (F.lit(k), F.col(f"{k}{i}"))])
@@ -92,11 +89,59 @@ def profiled(table: Table) -> DataFrame:
 def warehouse_profile(catalog: Catalog) -> DataFrame:
     """The profiles of all tables: one scan of each, one plan for all."""
     found = _measured(reduce(DataFrame.unionByName, map(_unpivoted, catalog.tables.values())))
-    known = {f"{t.name}\x1f{f.name}": {"sql_type": sql_type(f.dataType), "nullable": t.nullable(f.name), "is_key": f.name in t.key} for t in catalog.tables.values() for f in t.data.schema if _atomic(f.dataType)}
+    known = {f"{t.name}\x1f{f.name}": {"sql_type": sql_type(f.dataType), "nullable": t.nullable(f.name), "is_key": f.name in t.key} for t in catalog.tables.values() for f in t.data.schema}
     facts = F.from_json(F.lit(json.dumps(known)), "map<string, struct<sql_type: string, nullable: boolean, is_key: boolean>>")
     return found.withColumn("fact", facts[F.concat_ws("\x1f", "table", "column")]).select("*", "fact.*").select(*FIELDS)
 
 
+class Store:
+    """Profiles that have been measured, one for each table's state, as rows on the driver: a few for each column.
+
+    A table is measured again when its files have changed (their number, their bytes or the time of their
+    folder), when its catalog entry has, or when it isn't read from files as it is; all tables that are due
+    are measured in one plan.
+    """
+
+    def __init__(self) -> None:
+        self.rows: dict[tuple, list] = {}
+
+    @staticmethod
+    def state(table: Table) -> tuple | None:
+        """What a table's profile depends on; None for a frame that isn't read from files as it is."""
+        spark = table.data.sparkSession
+        plan = table.data._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        roots, conf, found = plan.relation().location().rootPaths(), spark.sparkContext._jsc.hadoopConfiguration(), []
+        for i in range(roots.size()):
+            files = roots.apply(i).getFileSystem(conf)
+            size = files.getContentSummary(roots.apply(i))
+            found.append((roots.apply(i).toString(), size.getLength(), size.getFileCount(), files.getFileStatus(roots.apply(i)).getModificationTime()))
+        return (table.name, spark.sparkContext.applicationId, tuple(found), table.data.schema.simpleString(), table.key, table.not_null)
+
+    def profile(self, catalog: Catalog) -> DataFrame:
+        states = {name: self.state(t) for name, t in catalog.tables.items()}
+        due = Catalog(catalog.spark)
+        due.tables = {name: t for name, t in catalog.tables.items() if states[name] is None or states[name] not in self.rows}
+        out: list = []
+        schema = None
+        if due.tables:
+            measured = warehouse_profile(due)
+            schema, made = measured.schema, {}
+            for row in measured.collect():
+                made.setdefault(row["table"], []).append(row)
+            for name, rows in made.items():
+                if states[name] is None:
+                    out += rows
+                else:
+                    self.rows[states[name]] = rows
+        out += [row for state in states.values() if state is not None for row in self.rows.get(state, [])]
+        return catalog.spark.createDataFrame(out, schema or PROFILE).coalesce(1)
+
+
+PROFILE = "table string, column string, sql_type string, nullable boolean, is_key boolean, rows long, non_null long, distinct long, mean_length double, pattern_hits map<string, bigint>"
+
+
 def disagreements(a: DataFrame, b: DataFrame) -> DataFrame:
     """(column, field) where two profiles differ; mean lengths may differ by 1e-9."""
     x, y = a.alias("x"), b.alias("y")

@@ -14,7 +14,7 @@ PREDICATES = {
 }
 STRENGTHS = {"email": 0.90, "national_id": 0.90, "ip_address": 0.85, "phone": 0.70, "payment_card": 0.75, "sex": 0.70}
 
-# name, type of every column of the tables; arrays can't be profiled
+# name, type of every column of the tables
 COLUMNS = {
     "region": "r_regionkey INTEGER, r_name VARCHAR",
     "nation": "n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER",
@@ -29,6 +29,7 @@ COLUMNS = {
     "pages": "page_id BIGINT, url VARCHAR, html VARCHAR",
     "labels": "doc_id BIGINT, quality INTEGER, toxic INTEGER",
     "benchmark": "item_id BIGINT, text VARCHAR",
+    "embeddings": "vec_id BIGINT, embedding FLOAT[], label INTEGER",
 }
 
 
@@ -37,7 +38,9 @@ def columns_of(table: str) -> list[tuple[str, str]]:
 
 
 def as_text(column: str, kind: str) -> str:
-    return f"CAST(TRY_CAST({column} AS DECIMAL(38,6)) AS VARCHAR)" if kind in ("DOUBLE", "FLOAT") else f"CAST({column} AS VARCHAR)"
+    if kind.endswith("[]"):
+        return f"array_to_string(list_transform({column}, lambda e: {as_text('e', kind[:-2])}), ',')"
+    return f"CAST(TRY_CAST(CAST({column} AS DOUBLE) AS DECIMAL(38,6)) AS VARCHAR)" if kind in ("DOUBLE", "FLOAT") else f"CAST({column} AS VARCHAR)"
 
 
 def literal(x: object) -> str:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -108,6 +109,44 @@ class Catalog:
         return reduce(DataFrame.unionByName, parts)
 
 
+@dataclass(frozen=True)
+class Declared:
+    """What a CREATE TABLE says: name, columns in order, key, columns without null, references."""
+
+    name: str
+    columns: tuple[str, ...]
+    key: tuple[str, ...]
+    not_null: tuple[str, ...]
+    references: tuple[Reference, ...]
+
+    def table(self, data: DataFrame) -> Table:
+        return Table(self.name, data, self.key, tuple(c for c in self.not_null if c not in self.key), self.references)
+
+
+def read_ddl(spark: SparkSession, text: str) -> Declared:
+    """Keys and references from the constraints of a CREATE TABLE, as Spark's own parser reads them; never from names."""
+    plain = re.sub(r"\bVARCHAR\b(?!\s*\()", "STRING", text)  # without a length it is no type of Spark's
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(plain)
+    if plan.getClass().getSimpleName() != "CreateTable":
+        raise ValueError("not a CREATE TABLE")
+    each = lambda values: [values.apply(i) for i in range(values.size())]
+    key, references = (), []
+    for c in each(plan.tableSpec().constraints()):
+        kind = c.getClass().getSimpleName()
+        if kind == "PrimaryKeyConstraint":
+            key = tuple(map(str, each(c.columns())))
+        elif kind == "ForeignKeyConstraint":
+            references.append(Reference(tuple(map(str, each(c.childColumns()))), ".".join(map(str, each(c.parentTableId()))), tuple(map(str, each(c.parentColumns())))))
+    columns = each(plan.columns())
+    name = ".".join(map(str, each(plan.name().nameParts())))
+    return Declared(name, tuple(c.name() for c in columns), key, tuple(c.name() for c in columns if not c.nullable()), tuple(references))
+
+
+def recovered(declared: Catalog, found: Catalog) -> bool:
+    """Whether a catalog that was read again is the one that was declared."""
+    return declared.fingerprint() == found.fingerprint()
+
+
 def compared(declared: DataFrame, found: DataFrame) -> DataFrame:
     """(table, column, difference) between two ``Catalog.columns()``, either way round, order included."""
     a, b = declared.alias("a"), found.alias("b")

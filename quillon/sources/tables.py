@@ -10,7 +10,7 @@ from quillon.sources.catalog import Catalog, Reference, Table
 KEYS = {
     "region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",),
     "orders": ("o_orderkey",), "events": ("event_id",), "documents": ("doc_id",), "pages": ("page_id",), "benchmark": ("item_id",),
-    "conversations": ("conv_id", "turn"), "labels": (), "lineitem": (),
+    "conversations": ("conv_id", "turn"), "labels": (), "lineitem": (), "embeddings": ("vec_id",),
 }
 REFERENCES = {
     "nation": (Reference(("n_regionkey",), "region", ("r_regionkey",)),),
@@ -41,10 +41,11 @@ MARTS = {
 
 
 def mart(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the marts: orders with their customers, grouped and counted."""
+    """One of the marts: orders with their customers, grouped and counted. Prices are summed in whole cents, so that the
+    mean doesn't depend on the order of the rows."""
     expressions, keys = MARTS[name]
     joined = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy(*[F.expr(e).alias(k) for e, k in zip(expressions, keys, strict=True)]).agg(F.count("*").alias("orders"), F.avg("o_totalprice").alias("mean_price"))
+    return joined.groupBy(*[F.expr(e).alias(k) for e, k in zip(expressions, keys, strict=True)]).agg(F.count("*").alias("orders"), (F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / F.count("o_totalprice") / 100).alias("mean_price"))
 
 
 def mart_insert(name: str) -> str:

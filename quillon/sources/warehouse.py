@@ -24,7 +24,7 @@ LABELS = {
     "raw.patient": {
         "patient_id": "not_personal", "mrn": "medical_record_number", "first_name": "person_name", "last_name": "person_name", "email": "email",
         "phone": "phone", "street_address": "street_address", "city": "postal_code", "postal_code": "postal_code", "birth_date": "birth_date",
-        "sex": "sex", "ssn": "national_id", "created_at": "event_date",
+        "sex": "sex", "ssn": "national_id", "created_at": "not_personal",
     },
     "raw.encounter": {
         "encounter_id": "not_personal", "patient_id": "not_personal", "admitted_at": "event_date", "discharged_at": "event_date", "department": "not_personal",
@@ -40,6 +40,14 @@ LABELS = {
     },
     "analytics.encounter_daily": {"day": "event_date", "department": "not_personal", "postal_code": "postal_code", "encounters": "not_personal", "mean_length_of_stay_h": "not_personal"},
 }
+# How fine the planted dates and places are.
+OBSERVED = {
+    ("raw.patient", "city"): "postal_3", ("raw.patient", "postal_code"): "postal_5", ("raw.patient", "birth_date"): "day",
+    ("raw.encounter", "admitted_at"): "second", ("raw.encounter", "discharged_at"): "second", ("raw.claim", "submitted_on"): "day",
+    ("raw.device_reading", "taken_at"): "second", ("analytics.encounter_daily", "day"): "day", ("analytics.encounter_daily", "postal_code"): "postal_5",
+}
+# Postal codes by rule, and the statement that builds the mart.
+POSTAL_CODES = [f"1{101 + 7 * i:04d}" for i in range(60)]
 MART = (
     "INSERT INTO analytics.encounter_daily SELECT CAST(e.admitted_at AS DATE) AS day, e.department AS department, p.postal_code AS postal_code, "
     "count(*) AS encounters, avg(date_diff('minute', e.admitted_at, e.discharged_at) / 60.0) AS mean_length_of_stay_h "
@@ -62,6 +70,23 @@ class _Draw:
     def digits(self, name: str, width: int) -> Column:
         return F.lpad(self.whole(name, 10**width).cast("string"), width, "0")
 
+    def share(self, name: str) -> Column:
+        """A number from 0 on, below 1."""
+        return self.whole(name, 1_000_000_000) / F.lit(1e9)
+
+    def weighted(self, name: str, members: list[str], weights: list[float]) -> Column:
+        """A choice by weights: how many of the running sums the share has passed."""
+        total, sums = sum(weights), []
+        for w in weights[:-1]:
+            sums.append((sums[-1] if sums else 0.0) + w / total)
+        passed = F.size(F.filter(F.array(*map(F.lit, sums)), lambda x: x <= self.share(name)))
+        return F.get(F.array(*map(F.lit, members)), passed)
+
+    def triangular(self, name: str, low: float, high: float, mode: float) -> Column:
+        """The inverse of a triangular distribution at the share."""
+        u, cut = self.share(name), (mode - low) / (high - low)
+        return F.when(u < cut, low + F.sqrt(u * ((high - low) * (mode - low)))).otherwise(high - F.sqrt((1 - u) * ((high - low) * (high - mode))))
+
     def maybe(self, name: str, value: Column) -> Column:
         return F.when(self.whole(f"{name} is null", 10_000) >= int(self.null_rate * 10_000), value)
 
@@ -69,12 +94,13 @@ class _Draw:
 def patients(spark: SparkSession, n: int, seed: int = SEED, null_rate: float = NULL_RATE) -> DataFrame:
     d = _Draw("raw.patient", seed, null_rate)
     first, last = d.choice("first_name", FIRST_NAMES), d.choice("last_name", LAST_NAMES)
-    days = d.whole("birth_date", 200) + d.whole("birth_date again", 32_000)
+    age = F.floor(d.triangular("birth_date", 0, 95, 46)).cast("int")
+    born = F.date_add(F.make_date(F.lit(int(TODAY[:4])) - age, F.lit(1), F.lit(1)), d.whole("birth day", 365).cast("int"))
     columns = {
         "mrn": F.concat(F.lit("MR"), d.digits("mrn", 7)), "first_name": first, "last_name": last,
         "email": F.concat_ws("", F.lower(first), F.lit("."), F.lower(last), F.col("id"), F.lit("@example.org")), "phone": F.concat(F.lit("+1555"), d.digits("phone", 7)),
         "street_address": F.concat_ws(" ", d.whole("house", 900) + 1, d.choice("street", STREETS), F.lit("Street")), "city": d.choice("city", CITIES),
-        "postal_code": F.concat(F.lit("0"), d.digits("postal_code", 4)), "birth_date": F.date_sub(F.lit(TODAY).cast("date"), days.cast("int")), "sex": d.choice("sex", ["F", "M", "X"]),
+        "postal_code": d.weighted("postal_code", POSTAL_CODES, [1 / (i + 1) for i in range(len(POSTAL_CODES))]), "birth_date": born, "sex": d.choice("sex", ["F", "M", "X"]),
         "ssn": F.concat_ws("-", d.digits("ssn a", 3), d.digits("ssn b", 2), d.digits("ssn c", 4)),
     }
     made = [(c if k == "mrn" else d.maybe(k, c)).alias(k) for k, c in columns.items()]
@@ -130,8 +156,8 @@ def planted(spark: SparkSession, patients_: int = 1000, seed: int = SEED, null_r
 
 
 def labels(spark: SparkSession) -> DataFrame:
-    """(table, column, label): the answer key."""
-    return spark.createDataFrame([(t, c, k) for t, columns in LABELS.items() for c, k in columns.items()], "table string, column string, label string")
+    """(table, column, label, observed): the answer key."""
+    return spark.createDataFrame([(t, c, k, OBSERVED.get((t, c))) for t, columns in LABELS.items() for c, k in columns.items()], "table string, column string, label string, observed string")
 
 
 def ddl(table: Table) -> str:
@@ -167,6 +193,11 @@ def wide(spark: SparkSession, width: int, rows: int) -> DataFrame:
     return spark.range(1, rows + 1).selectExpr("id AS row_id", *[f"{kinds[i % 5]} AS c{i:03d}" for i in range(width)])
 
 
+def null_counts(catalog: Catalog) -> DataFrame:
+    """(table, column, nulls) of every column that may be null."""
+    return catalog.nullability().where("nullable").select("table", "column", "nulls")
+
+
 def statistics(patient: DataFrame) -> DataFrame:
     """(rows, median_age, distinct_postal, nulls): the middle of the sorted ages, not an interpolation."""
     age = F.floor(F.months_between(F.lit(TODAY).cast("date"), "birth_date") / 12)
@@ -197,3 +228,17 @@ def outside(spark: SparkSession, rows: int = 400, seed: int = 20261010) -> Table
         F.concat(letters("request", 4), d.digits("request number", 4), letters("request end", 4)).alias("request_ref"),
     )
     return Table("bench.outside", made, ("row_id",))
+
+
+def round_two(spark: SparkSession, total: int, marts: int = 3, rows: int = 200) -> tuple[Catalog, list[tuple]]:
+    """A person table, marts grouped from it and tables that name nobody, ``total`` in all; and the edges of the marts."""
+    if total < 1 + marts:
+        raise ValueError(f"{total} tables can't hold a person table and {marts} marts")
+    ids = spark.range(rows)
+    person = ids.select(F.col("id").alias("person_id"), F.concat(F.lit("user"), "id", F.lit("@example.org")).alias("email"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 90).cast("int")).alias("admitted_at"))
+    mart = person.groupBy(F.col("admitted_at").alias("day")).agg(F.count("*").alias("encounters"))
+    ref = ids.select(F.concat(F.lit("K"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("code"), F.col("id").alias("amount"))
+    found = Catalog(spark).add(Table("bench.person", person, ("person_id",)))
+    found.add(*[Table(f"bench.mart_{i}", mart) for i in range(marts)], *[Table(f"bench.ref_{i}", ref) for i in range(total - 1 - marts)])
+    edges = [("bench.person", source, f"bench.mart_{i}", target, kind, "") for i in range(marts) for source, target, kind in (("admitted_at", "day", "grouped"), ("*", "encounters", "aggregate"))]
+    return found, edges
