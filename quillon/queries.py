@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import values
-from quillon.operators import access, classify, coverage, kanon, lineage, masking, profile, report, review, sampling
+from quillon.operators import access, classify, coverage, kanon, lineage, masking, measure, profile, report, review, sampling
 from quillon.plans import access_log, oracle, rules
 from quillon.sources import tables, warehouse
 from quillon.sources.catalog import Table, compared
@@ -115,7 +116,7 @@ def _(spark, d):
     return rows.select("v", *[p(F.col("v")).alias(k) for k, p, _ in values.PREDICATES])
 
 
-@query("shapes", "SELECT DISTINCT c_mktsegment AS v, regexp_replace(regexp_replace(regexp_replace(c_mktsegment, '[^\\p{L}\\p{Nd}\\-./:+()@,#_ ]', '?', 'g'), '\\p{L}', 'A', 'g'), '\\p{Nd}', '9', 'g') AS shape FROM customer UNION SELECT substr(c_name, 1, 12), regexp_replace(regexp_replace(regexp_replace(substr(c_name, 1, 12), '[^\\p{L}\\p{Nd}\\-./:+()@,#_ ]', '?', 'g'), '\\p{L}', 'A', 'g'), '\\p{Nd}', '9', 'g') FROM customer")
+@query("shapes", "SELECT DISTINCT c_mktsegment AS v, regexp_replace(regexp_replace(regexp_replace(c_mktsegment, '[^\\p{L}\\p{Nd}\\-./:+()@,#_ ]', '?', 'g'), '\\p{L}', 'A', 'g'), '\\p{Nd}', '9', 'g') AS shape FROM customer UNION SELECT c_name, regexp_replace(regexp_replace(regexp_replace(c_name, '[^\\p{L}\\p{Nd}\\-./:+()@,#_ ]', '?', 'g'), '\\p{L}', 'A', 'g'), '\\p{Nd}', '9', 'g') FROM customer")
 def _(spark, d):
     t = tables.load(spark, d, "customer")
     v = t.select(F.col("c_mktsegment").alias("v")).union(t.select("c_name")).distinct()
@@ -197,6 +198,11 @@ def _(spark, d):
     return s.select(F.inline(F.array(*[F.struct(F.lit(c).alias("concentration"), sampling.looks_like_a_code(concentration=c).alias("found")) for c in CONCENTRATIONS])))
 
 
+@query("concentration_cliff", "SELECT max(c) AS cliff FROM (VALUES (CAST(0.5 AS DOUBLE)), (0.7)) t(c)")
+def _(spark, d):
+    return sampling.cliff(QUERIES["concentration_sweep"](spark, d), 0.9)
+
+
 # -- group sizes ------------------------------------------------------------------------------------
 
 ORDERED = "(SELECT *, year(o_orderdate) AS y, CAST(o_orderdate AS DATE) AS dy FROM orders)"
@@ -214,12 +220,12 @@ _residual("residual_events", oracle.residual("events", ["user_id", "event_type",
 
 def _mart_sql(name: str) -> str:
     expressions, keys = tables.MARTS[name]
-    return f"(SELECT {', '.join(f'{e} AS {k}' for e, k in zip(expressions, keys, strict=True))}, count(*) AS orders, avg(o_totalprice) AS mean_price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY {', '.join(expressions)})"
+    return f"(SELECT {', '.join(f'{e} AS {k}' for e, k in zip(expressions, keys, strict=True))}, count(*) AS orders, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT / count(o_totalprice) / 100 AS mean_price FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY {', '.join(expressions)})"
 
 
 for _name in tables.MARTS:
     _keys = tables.MARTS[_name][1]
-    query(f"mart_{_name}", f"SELECT * REPLACE (CAST(day AS VARCHAR) AS day, round(mean_price, 4) AS mean_price) FROM {_mart_sql(_name)}")(lambda spark, d, n=_name: tables.mart(spark, d, n).withColumn("day", F.col("day").cast("string")).withColumn("mean_price", F.round("mean_price", 4)))
+    query(f"mart_{_name}", f"SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM {_mart_sql(_name)}")(lambda spark, d, n=_name: tables.mart(spark, d, n).withColumn("day", F.col("day").cast("string")))
     query(f"grain_{_name}", f"SELECT *, singleton_rows / rows AS singleton_share, singleton_rows / rows AS factor FROM (SELECT count(*) AS rows, coalesce(sum(orders), 0)::BIGINT AS population, coalesce(min(orders), 1) AS k, count(*) FILTER (orders = 1) AS singleton_rows FROM {_mart_sql(_name)})")(lambda spark, d, n=_name: kanon.grain(tables.mart(spark, d, n), "orders"))
     query(f"residual_weighted_{_name}", oracle.residual(_mart_sql(_name), ["day", "segment"], "orders"))(lambda spark, d, n=_name: kanon.residual(tables.mart(spark, d, n), [F.col("day"), F.col("segment")], "orders"))
 
@@ -265,6 +271,15 @@ def _(spark, d):
     return kanon.null_effect(tables.with_nulls(tables.load(spark, d, "orders")), ["o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
+SIGNS = {"o_custkey": ["o_custkey", "o_orderstatus", "o_orderpriority"], "o_orderdate": ["o_orderstatus", "o_orderpriority"]}
+
+
+@query("null_effect_sign", "SELECT bool_or(f > 0) AND bool_or(f < 0) AS changes FROM (" + " UNION ALL ".join(f"SELECT c.m - a.m AS f FROM (SELECT count(*) FILTER (s = 1) / sum(s) AS m FROM (SELECT count(*) AS s FROM {NULLED} GROUP BY {', '.join(cs)})) a, (SELECT count(*) FILTER (s = 1) / sum(s) AS m FROM (SELECT count(*) AS s FROM {NULLED} WHERE {' AND '.join(c + ' IS NOT NULL' for c in cs)} GROUP BY {', '.join(cs)})) c" for cs in SIGNS.values()) + ")")
+def _(spark, d):
+    rows = tables.with_nulls(tables.load(spark, d, "orders"))
+    return kanon.changes_sign(reduce(DataFrame.unionByName, [kanon.null_effect(rows, cs) for cs in SIGNS.values()]))
+
+
 @query("postal_floor", f"SELECT *, areas > 0 AND areas = meeting AS applies FROM (SELECT count(*) AS areas, min(n) AS smallest, max(n) AS largest, count(*) FILTER (n > {rules.POSTAL_FLOOR}) AS meeting FROM (SELECT count(*) AS n FROM orders GROUP BY substr(lpad(CAST(o_custkey AS VARCHAR), 7, '0'), 1, 3)))")
 def _(spark, d):
     return kanon.postal_floor(tables.load(spark, d, "orders").select(F.lpad(F.col("o_custkey").cast("string"), 7, "0").alias("area")), "area")
@@ -278,8 +293,12 @@ SETTLED = f"{EVIDENCE}, {oracle.settled()}"
 POLICIES = f"{SETTLED}, {oracle.policies()}"
 
 
+STORE = profile.Store()
+
+
 def _profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.warehouse_profile(tables.catalog(spark, d, references=False))
+    """Measured once for each state of the tables; what follows starts from its rows."""
+    return STORE.profile(tables.catalog(spark, d, references=False))
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -289,15 +308,15 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profile, evidence, verdicts); the profile, one row a column, is kept for the steps that read it again."""
-    found = _kept(_profile(spark, d))
+    """(profile, evidence, verdicts), each a row or a few for each column."""
+    found = _profile(spark, d)
     evidence = _kept(classify.signals(found))
     return found, evidence, _kept(classify.warehouse(found, evidence))
 
 
 @query("evidence", f"{EVIDENCE} SELECT \"table\", \"column\", arm, category, round(strength, 9) AS strength, round(support, 9) AS support FROM evidence")
 def _(spark, d):
-    return classify.signals(_kept(_profile(spark, d))).drop("detail").withColumn("strength", F.round("strength", 9)).withColumn("support", F.round("support", 9))
+    return classify.signals(_profile(spark, d)).drop("detail").withColumn("strength", F.round("strength", 9)).withColumn("support", F.round("support", 9))
 
 
 @query("evidence_of_names", f"{EVIDENCE} SELECT \"table\", \"column\", category, strength FROM evidence WHERE arm = 'name'")
@@ -307,7 +326,7 @@ def _(spark, d):
 
 @query("verdicts_alone", f"{EVIDENCE}, {oracle.verdicts('evidence', 'alone')} SELECT * FROM alone")
 def _(spark, d):
-    found = _kept(_profile(spark, d))
+    found = _profile(spark, d)
     return classify.decided(found, classify.signals(found))
 
 
@@ -318,7 +337,7 @@ def _(spark, d):
 
 @query("person_linked", f"{SETTLED} SELECT * FROM linked")
 def _(spark, d):
-    found = _kept(_profile(spark, d))
+    found = _profile(spark, d)
     return classify.person_linked(classify.decided(found, classify.signals(found)))
 
 
@@ -337,13 +356,31 @@ def _ablation_sql() -> str:
 
 @query("ablation", _ablation_sql())
 def _(spark, d):
-    found = _kept(_profile(spark, d))
+    found = _profile(spark, d)
     return classify.ablation(found, classify.signals(found))
 
 
 THRESHOLDS = [0.35, 0.5, 0.65, 0.75, 0.9]
 
 
+def _moves_sql() -> str:
+    """Like ``ablation``, with both verdicts."""
+    moved = " UNION ALL ".join(f"SELECT {oracle.literal(label)} AS arms, s.\"table\", s.\"column\", a.band AS b0, a.confidence AS c0, a.category AS k0, s.band AS b1, s.confidence AS c1, s.category AS k1 FROM set{i} s JOIN set0 a USING (\"table\", \"column\") WHERE s.band <> a.band" for i, (label, _) in enumerate(classify.ARM_SETS))
+    return f"{_ablation_sql().partition(' SELECT ' + oracle.literal(classify.ARM_SETS[0][0]) + ' AS arms')[0]}, moved AS ({moved})"
+
+
+@query("ablation_texts", f"{_moves_sql()} SELECT arms, printf('%s.%s: %s %s at %.4f, then %s %s at %.4f', \"table\", \"column\", b0, k0, c0, b1, k1, c1) AS text FROM moved")
+def _(spark, d):
+    found = _profile(spark, d)
+    return classify.move_texts(classify.moves(found, classify.signals(found)))
+
+
+@query("ablation_decides_nothing", f"{_moves_sql()} SELECT arm FROM (VALUES ('name'), ('value'), ('structure')) a(arm) WHERE 'without ' || arm NOT IN (SELECT arms FROM moved)")
+def _(spark, d):
+    found = _profile(spark, d)
+    return classify.decides_nothing(classify.moves(found, classify.signals(found)))
+
+
 @query("threshold_sweep", f"{SETTLED} SELECT threshold, count(*) FILTER (category <> 'not_personal' AND confidence >= threshold) AS masked FROM settled, (SELECT unnest({oracle.literal(THRESHOLDS)}) AS threshold) GROUP BY ALL")
 def _(spark, d):
     return classify.threshold_sweep(_verdicts(spark, d)[2], THRESHOLDS)
@@ -354,7 +391,27 @@ def _(spark, d):
     return classify.bar_sweep(_verdicts(spark, d)[2], THRESHOLDS)
 
 
-@query("verdict_texts")
+def _texts_sql() -> str:
+    """The evidence once more, with its details, as lines."""
+    needles = "list_filter(needles, lambda n: list_contains(words, n) OR n = array_to_string(words, ''))[1]"
+    by_value = " UNION ALL ".join(f"SELECT \"table\", \"column\", 'value' AS arm, '{k}' AS category, CAST({s} AS DOUBLE) * ({k}_hits / non_null) * (non_null / rows) AS w, printf('%d of %d values match', {k}_hits, non_null) AS detail FROM profile WHERE non_null > 0 AND {k}_hits / non_null >= {rules.VALUE_FLOOR}" for k, s in oracle.STRENGTHS.items())
+    return f"""{SETTLED}, told AS (
+SELECT "table", "column", 'name' AS arm, category, CAST(strength AS DOUBLE) AS w, 'word ' || {needles} AS detail FROM words, name_rules WHERE {needles} IS NOT NULL
+UNION ALL SELECT "table", "column", 'name', 'event_date', CAST({rules.TEMPORAL_NAME_STRENGTH} AS DOUBLE), 'ends in ' || words[len(words)] FROM words WHERE words[len(words)] IN ({', '.join(map(oracle.literal, rules.TEMPORAL_SUFFIXES))})
+UNION ALL {by_value}
+UNION ALL SELECT "table", "column", 'value', 'free_text_clinical', CAST({rules.FREE_TEXT_STRENGTH} AS DOUBLE) * (non_null / rows), printf('mean length %.0f', mean_length) FROM profile WHERE non_null > 0 AND mean_length >= {rules.FREE_TEXT_LENGTH} AND "distinct" / non_null >= {rules.FREE_TEXT_DISTINCT}
+UNION ALL SELECT "table", "column", 'structure', 'event_date', CAST({rules.TEMPORAL_TYPE_STRENGTH} AS DOUBLE), 'type ' || sql_type FROM profile WHERE NOT is_key AND sql_type IN ({', '.join(map(oracle.literal, rules.TEMPORAL_TYPES))})),
+lines AS (SELECT "table", "column", round(w, 4) AS w, printf('    %-9s %-22s %.4f  %s', arm, category, round(w, 4), detail) AS line FROM told),
+joined AS (SELECT "table", "column", string_agg(line, chr(10) ORDER BY -w, line) AS lines FROM lines GROUP BY ALL)
+SELECT "table", "column", concat_ws(chr(10), printf('%s.%s -> %s at %.4f (%s)', "table", "column", category, confidence, band), coalesce(lines, ''), CASE WHEN runner_up IS NOT NULL THEN printf('    runner up %s at %.4f', runner_up, runner_up_score) END) AS text FROM settled LEFT JOIN joined USING ("table", "column")"""
+
+
+@query("verdict_flags", f"{SETTLED} SELECT \"table\", \"column\", confidence >= {rules.REVIEW_AT} AND category <> 'not_personal' AS flagged, confidence >= {rules.ACCEPT_AT} AND category <> 'not_personal' AS auto_masked FROM settled")
+def _(spark, d):
+    return classify.flags(_verdicts(spark, d)[2])
+
+
+@query("verdict_texts", _texts_sql())
 def _(spark, d):
     _, evidence, verdicts = _verdicts(spark, d)
     return classify.explained(verdicts, evidence)
@@ -398,6 +455,17 @@ def _(spark, d):
     return classify.rescued(classify.warehouse(columns, evidence), spark.createDataFrame(UPSTREAM, "table string, source string"))
 
 
+@query("derived_linked", "SELECT 'mart.daily' AS \"table\", 'people' AS source")
+def _(spark, d):
+    columns, evidence, _ = _rescue(spark, d)
+    return classify.derived_linked(classify.warehouse(columns, evidence), spark.createDataFrame(UPSTREAM, "table string, source string"))
+
+
+@query("floors", "SELECT CAST(0.35 AS DOUBLE) / 0.55 AS concentration, CAST(0.35 AS DOUBLE) / 0.45 AS grain")
+def _(spark, d):
+    return spark.createDataFrame([(rules.weakest(rules.CODE_STRENGTH), kanon.rescue_floor())], "concentration double, grain double")
+
+
 @query("rescue_bands", " UNION ALL ".join(f"SELECT '{n}' AS mart, round(factor, 6) AS factor, {oracle.band(repr('event_date'), f'round({rules.TEMPORAL_TYPE_STRENGTH} * factor, 4)')} AS band FROM (SELECT count(*) FILTER (orders = 1) / count(*) AS factor FROM {_mart_sql(n)})" for n in tables.MARTS))
 def _(spark, d):
     out = None
@@ -423,11 +491,11 @@ def _(spark, d):
 
 def _planted(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     found = warehouse.planted(spark)
-    mart = "analytics.encounter_daily"
     g = lineage.Graph.of(spark, [lineage.read(spark, warehouse.MART)], found.references())
-    grain = kanon.grain(found.tables[mart].data, lineage.weight_column(g, mart)).select(F.lit(mart).alias("table"), "factor")
     rows = _kept(profile.warehouse_profile(found))
-    return rows, classify.warehouse(rows, _kept(classify.signals(rows)), lineage.upstream_tables(g), _kept(grain))
+    data = {n: t.data for n, t in found.tables.items()}
+    grain = lambda names: kanon.confidences(data, {n: w for n in names if (w := lineage.weight_column(g, n))}, names)  # noqa: E731  only what is rescued is measured
+    return rows, classify.warehouse(rows, _kept(classify.signals(rows)), lineage.upstream_tables(g), grain)
 
 
 @query("planted_verdicts")
@@ -435,29 +503,91 @@ def _(spark, d):
     return _planted(spark)[1]
 
 
-@query("planted_recall", oracle.values([("direct", 11, 11), ("quasi", 10, 10)], "identifiability, in_scope, found")[1:-1])
+# what is published for this warehouse: 20 columns in scope, all found, 12 without a person, 2 false alarms
+@query("planted_recall", "SELECT * FROM (VALUES ('direct', 11, 11), ('quasi', 9, 9)) t(identifiability, in_scope, found)")
 def _(spark, d):
     return coverage.recall(coverage.graded(_planted(spark)[1], warehouse.labels(spark)))
 
 
-@query("planted_labels", oracle.values(sorted((lv, sum(rules.IDENTIFIABILITY[k] == lv for c in warehouse.LABELS.values() for k in c.values())) for lv in ("direct", "quasi", "sensitive", "none")), "identifiability, columns")[1:-1])
+@query("planted_headline", "SELECT 20 AS in_scope, 20 AS found, 12 AS auto_masked, 2 AS false_alarms")
+def _(spark, d):
+    verdicts = _planted(spark)[1]
+    return coverage.headline(coverage.graded(verdicts, warehouse.labels(spark)), verdicts)
+
+
+@query("planted_labels", "SELECT * FROM (VALUES ('direct', 11), ('quasi', 10), ('sensitive', 2), ('none', 19)) t(identifiability, columns)")
 def _(spark, d):
     return coverage.planted_summary(warehouse.labels(spark))
 
 
-@query("regime_categories", oracle.values([(k,) for k, _, r, _ in rules.TAXONOMY if "gdpr_special" in r], "category")[1:-1])
+@query("planted_identifying_quasi", """SELECT l.tbl AS "table", col AS "column", label, observed FROM (VALUES
+  ('raw.patient', 'city', 'postal_code', 'postal_3'), ('raw.patient', 'postal_code', 'postal_code', 'postal_5'), ('raw.patient', 'birth_date', 'birth_date', 'day'), ('raw.patient', 'sex', 'sex', NULL),
+  ('raw.encounter', 'admitted_at', 'event_date', 'second'), ('raw.encounter', 'discharged_at', 'event_date', 'second'), ('raw.claim', 'submitted_on', 'event_date', 'day'),
+  ('raw.device_reading', 'taken_at', 'event_date', 'second'), ('analytics.encounter_daily', 'day', 'event_date', 'day'), ('analytics.encounter_daily', 'postal_code', 'postal_code', 'postal_5')) l(tbl, col, label, observed)
+WHERE coalesce(observed, '') <> 'postal_3'""")
+def _(spark, d):
+    return coverage.identifying_quasi(warehouse.labels(spark))
+
+
+@query("planted_as_event_date", "SELECT * FROM (VALUES ('raw.encounter', 'admitted_at'), ('raw.encounter', 'discharged_at'), ('raw.claim', 'submitted_on'), ('raw.device_reading', 'taken_at'), ('analytics.encounter_daily', 'day')) t(\"table\", \"column\")")
+def _(spark, d):
+    return coverage.planted_as(warehouse.labels(spark), "event_date")
+
+
+@query("planted_totality", "SELECT '' AS \"table\", '' AS \"column\", '' AS problem WHERE false")
+def _(spark, d):
+    return coverage.unlabelled(warehouse.planted(spark).columns(), warehouse.labels(spark))
+
+
+@query("regime_categories", "SELECT * FROM (VALUES ('biometric'), ('face_photo'), ('health_condition'), ('free_text_clinical')) t(category)")
 def _(spark, d):
     return coverage.under_regime(spark, "gdpr_special")
 
 
+# round two over a synthetic warehouse: what it costs, and that keeping evidence changes nothing
+
+
+def _round_two(spark: SparkSession, total: int, marts: int):
+    found, edges = warehouse.round_two(spark, total, marts)
+    graph = lineage.Graph(spark, spark.createDataFrame(edges, lineage.EDGES), spark.createDataFrame([], lineage.REFUSALS))
+    return found, graph, lineage.upstream_tables(graph)
+
+
+@query("round_two_arms", "SELECT 25 AS tables, 51 AS columns, 24 AS rescued_tables, 48 AS rescued_columns, 51 AS memoised, 99 AS repeated, CAST(48 AS DOUBLE) / 99 AS wasted_share")
+def _(spark, d):
+    found, _, upstream = _round_two(spark, 25, 24)
+    columns = found.columns()
+    evidence = classify.name_signals(columns).unionByName(classify.structure_signals(columns))
+    return measure.arm_cost(columns.select("table", "column"), evidence, upstream).select(F.lit(25).alias("tables"), "*")
+
+
+@query("round_two_grain", "SELECT * FROM (VALUES (5, 3, 8, 6, 2), (25, 3, 28, 6, 22), (400, 3, 403, 6, 397)) t(eager_tables, lazy_tables, eager, lazy, saved)")
+def _(spark, d):
+    out = []
+    for total in (5, 25, 400):
+        names = ["bench.person", *[f"bench.mart_{i}" for i in range(3)], *[f"bench.ref_{i}" for i in range(total - 4)]]
+        weights = {f"bench.mart_{i}": "encounters" for i in range(3)}
+        out.append(measure.grain_cost(names, weights, weights))
+    return spark.createDataFrame([tuple(r.values()) for r in out], "eager_tables int, lazy_tables int, eager int, lazy int, saved int")
+
+
+@query("round_two_disagreements", "SELECT '' AS \"table\", '' AS \"column\" WHERE false")
+def _(spark, d):
+    found, graph, upstream = _round_two(spark, 6, 3)
+    rows, weights = _kept(profile.warehouse_profile(found)), {f"bench.mart_{i}": "encounters" for i in range(3)}
+    grain = lambda names: kanon.confidences({n: t.data for n, t in found.tables.items()}, weights, names)
+    kept = classify.warehouse(rows, _kept(classify.signals(rows)), upstream, grain)
+    return kept.exceptAll(classify.reprofiled(rows, upstream, grain)).select("table", "column")
+
+
 # -- floor, clauses, labels -------------------------------------------------------------------------
 
-RE2_FLOOR = {k: p.replace(r"\s", "[:space:]").replace("[^@[:space:]]", "[^@[:space:]]") for k, p in rules.FLOOR_VALUES}
+RE2_FLOOR = {k: p.replace(r"\s", "[:space:]") for k, p in rules.FLOOR_VALUES}
 
 
 def _floor_sql(table: str, key: str) -> str:
     each = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {oracle.as_text(c, k)} AS v FROM (SELECT * FROM {table} ORDER BY {key} LIMIT 50)" for c, k in oracle.columns_of(table))
-    hits = ", ".join(f"count(*) FILTER (v <> '' AND regexp_matches(v, '{p}\\n?$')) AS {k}" for k, p in RE2_FLOOR.items())
+    hits = ", ".join(f"count(*) FILTER (v <> '' AND regexp_matches(v, '{p}')) AS {k}" for k, p in RE2_FLOOR.items())
     by_value = "CASE " + " ".join(f"WHEN n > 0 AND {k} * 3 >= n * 2 THEN '{k}'" for k in RE2_FLOOR) + " END"
     by_name = "CASE " + " ".join(f"WHEN contains(lower(\"column\"), '{p}') THEN '{k}'" for p, k in rules.FLOOR_NAMES) + " END"
     return f"SELECT *, coalesce(by_name, by_value, 'not_personal') AS category FROM (SELECT \"column\", {by_name} AS by_name, {by_value} AS by_value FROM (SELECT \"column\", count(*) FILTER (v <> '') AS n, {hits} FROM ({each}) GROUP BY ALL))"
@@ -526,6 +656,23 @@ def _(spark, d):
     return masking.residual(tables.load(spark, d, "customer"), "customer", spark.createDataFrame(MASKED, POLICY))
 
 
+_BEFORE, _AFTER = ["c_custkey", "c_nationkey", "c_mktsegment"], ["substr(CAST(c_custkey AS VARCHAR), 1, 3)", "c_nationkey", "c_mktsegment"]
+
+
+@query("masked_before_after", f"SELECT 'before' AS stage, * FROM ({oracle.residual('customer', _BEFORE)}) UNION ALL SELECT 'after', * FROM ({oracle.residual('customer', _AFTER)})")
+def _(spark, d):
+    customer = tables.load(spark, d, "customer")
+    before = kanon.residual(customer, [F.col(c) for c in _BEFORE]).select(F.lit("before").alias("stage"), "*")
+    return before.unionByName(masking.residual(customer, "customer", spark.createDataFrame(MASKED, POLICY)).select(F.lit("after").alias("stage"), "*"))
+
+
+@query("compliant_but_identifiable", f"SELECT * FROM (SELECT 'customer' AS \"table\", * FROM ({oracle.residual('customer', _AFTER)}) UNION ALL SELECT 'orders', * FROM ({oracle.residual(ORDERED, ['y', 'o_orderpriority'])})) WHERE k < 2")
+def _(spark, d):
+    customer = masking.residual(tables.load(spark, d, "customer"), "customer", spark.createDataFrame(MASKED, POLICY)).select(F.lit("customer").alias("table"), "*")
+    orders = kanon.residual(tables.load(spark, d, "orders"), [values.year(F.col("o_orderdate")), F.col("o_orderpriority")]).select(F.lit("orders").alias("table"), "*")
+    return kanon.compliant_but_identifiable(customer.unionByName(orders))
+
+
 @query("policies_resolved", f"{POLICIES}, first_review AS (SELECT \"table\", \"column\" FROM policies WHERE action = 'review' ORDER BY 1, 2 LIMIT 1) SELECT p.* REPLACE (CASE WHEN f.\"column\" IS NOT NULL THEN 'retain' ELSE p.action END AS action, CASE WHEN f.\"column\" IS NOT NULL THEN 'not_personal' ELSE p.category END AS category) FROM policies p LEFT JOIN first_review f USING (\"table\", \"column\")")
 def _(spark, d):
     found = masking.policies(_verdicts(spark, d)[2]).cache()
@@ -536,11 +683,11 @@ def _(spark, d):
 # -- lineage ----------------------------------------------------------------------------------------
 
 EDGE_ROWS = [
-    ("orders", "o_orderdate", "mart.daily", "day", "cast", "cast to DATE, grouping key"), ("customer", "c_mktsegment", "mart.daily", "segment", "grouped", "grouping key"),
-    ("customer", "c_nationkey", "mart.daily", "nation", "grouped", "grouping key"), ("orders", "*", "mart.daily", "orders", "aggregate", "row count over the join grain"),
-    ("customer", "*", "mart.daily", "orders", "aggregate", "row count over the join grain"), ("orders", "o_totalprice", "mart.daily", "mean_price", "aggregate", "avg over the group"),
-    ("mart.daily", "segment", "mart.segments", "segment", "grouped", "grouping key"), ("mart.daily", "day", "mart.segments", "day", "cast", "cast to DATE, grouping key"),
-    ("mart.daily", "orders", "mart.segments", "total", "aggregate", "sum over the group"), ("mart.daily", "mean_price", "mart.segments", "twice", "transform", "expression, grouping key"),
+    ("orders", "o_orderdate", "mart.daily", "day", "cast", "cast to DATE, key of the groups"), ("customer", "c_mktsegment", "mart.daily", "segment", "grouped", "key of the groups"),
+    ("customer", "c_nationkey", "mart.daily", "nation", "grouped", "key of the groups"), ("orders", "*", "mart.daily", "orders", "aggregate", "counts the joined rows"),
+    ("customer", "*", "mart.daily", "orders", "aggregate", "counts the joined rows"), ("orders", "o_totalprice", "mart.daily", "mean_price", "aggregate", "avg of each group"),
+    ("mart.daily", "segment", "mart.segments", "segment", "grouped", "key of the groups"), ("mart.daily", "day", "mart.segments", "day", "cast", "cast to DATE, key of the groups"),
+    ("mart.daily", "orders", "mart.segments", "total", "aggregate", "sum of each group"), ("mart.daily", "mean_price", "mart.segments", "twice", "transform", "expression, key of the groups"),
 ]
 EDGE_NAMES = "source_table, source_column, target_table, target_column, kind, detail"
 
@@ -560,6 +707,31 @@ def _(spark, d):
     return _graph(spark).refusals.select("what", "table")
 
 
+EDGES_SQL = f"SELECT source_table || '.' || source_column AS source, target_table || '.' || target_column AS target, kind, detail FROM {oracle.values(EDGE_ROWS, EDGE_NAMES)}"
+
+
+@query("lineage_into", f"{EDGES_SQL} WHERE target_table = 'mart.segments' AND target_column = 'total'")
+def _(spark, d):
+    return _graph(spark).into("mart.segments.total")
+
+
+@query("lineage_out_of", f"{EDGES_SQL} WHERE source_table = 'mart.daily' AND source_column = 'day'")
+def _(spark, d):
+    return _graph(spark).out_of("mart.daily.day")
+
+
+@query("lineage_refusals_attributed", "SELECT * FROM (VALUES ('mart.broken', 4), ('', 1)) t(\"table\", refusals)")
+def _(spark, d):
+    g = _graph(spark)
+    return g.refusals_for("mart.broken").unionByName(g.unattributed()).groupBy("table").agg(F.count("*").alias("refusals"))
+
+
+@query("lineage_roots", "SELECT 'orders' AS \"table\", 'o_orderdate' AS \"column\" UNION ALL SELECT 'customer', 'c_mktsegment'")
+def _(spark, d):
+    columns = spark.createDataFrame([r[:2] for r in UP], "table string, column string")
+    return lineage.roots(_graph(spark), columns)
+
+
 WALK = f"WITH RECURSIVE e AS (SELECT source_table || '.' || source_column AS s, target_table || '.' || target_column AS t, kind FROM {oracle.values(EDGE_ROWS, EDGE_NAMES)})"
 STARTS = [("customer.c_mktsegment",), ("orders.o_orderdate",), ("orders.o_totalprice",)]
 
@@ -583,7 +755,7 @@ def _(spark, d):
 UP = [("orders", "o_orderdate", "event_date", 0.7, True), ("customer", "c_mktsegment", "occupation", 0.8, False), ("mart.daily", "day", "not_personal", 0.0, False), ("mart.daily", "segment", "not_personal", 0.0, True), ("mart.daily", "orders", "not_personal", 0.0, False), ("mart.daily", "nation", "not_personal", 0.0, True)]
 
 
-@query("lineage_propagation", oracle.values([("orders", "o_orderdate", "event_date", None, "root, nothing upstream", False), ("customer", "c_mktsegment", "occupation", None, "root, nothing upstream", False), ("mart.daily", "day", "not_personal", "event_date", "cast from orders.o_orderdate, value coarsened to day", True), ("mart.daily", "segment", "not_personal", "occupation", "grouped from customer.c_mktsegment", True), ("mart.daily", "orders", "not_personal", "not_personal", "aggregate only, the value did not survive", False), ("mart.daily", "nation", "not_personal", None, "upstream columns are not classified", False)], '"table", "column", category, inherited, rule, disagrees')[1:-1])
+@query("lineage_propagation", oracle.values([("orders", "o_orderdate", "event_date", None, "no column feeds it", False, False), ("customer", "c_mktsegment", "occupation", None, "no column feeds it", False, False), ("mart.daily", "day", "not_personal", "event_date", "cast from orders.o_orderdate, kept to the day", True, True), ("mart.daily", "segment", "not_personal", "occupation", "grouped from customer.c_mktsegment", True, True), ("mart.daily", "orders", "not_personal", "not_personal", "only by aggregate, which keeps no value", False, False), ("mart.daily", "nation", "not_personal", None, "what feeds it has no verdict", False, False)], '"table", "column", category, inherited, rule, disagrees, upgrade')[1:-1])
 def _(spark, d):
     verdicts = spark.createDataFrame([r[:4] for r in UP], "table string, column string, category string, confidence double")
     return lineage.propagated(_graph(spark), verdicts)
@@ -673,6 +845,11 @@ def _(spark, d):
     return access.widening(_exposures(spark))
 
 
+@query("access_summary", f"SELECT {len(access_log.GRANTS)} AS grants, 5 AS roles, 7 AS users, count(*) AS queries, count(*) FILTER (select_star) AS stars, min(\"at\") AS first, max(\"at\") AS last FROM {_events_sql()}")
+def _(spark, d):
+    return access.summary(*_log(spark)).withColumns({c: F.col(c).cast("string") for c in ("first", "last")})
+
+
 @query("star_share", f"SELECT count(*) FILTER (select_star) AS stars, count(*) AS queries FROM {_events_sql()} WHERE CAST(\"at\" AS DATE) BETWEEN DATE '{START}' AND DATE '{END}'")
 def _(spark, d):
     return access.star_share(_log(spark)[2], START, END)
@@ -725,16 +902,32 @@ def _(spark, d):
     return review.unblocked(queue, review.frees_a_table(queue).select("address"))
 
 
-@query("review_briefs")
+_BRIEFS_SQL = f"""{POLICIES.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT source_table || '.' || source_column AS s, target_table || '.' || target_column AS t, target_table AS tt, kind FROM {oracle.values(EDGE_ROWS, EDGE_NAMES)}),
+items AS (SELECT p."table" || '.' || p."column" AS address, p."table" AS tbl, s.category, s.confidence, s.runner_up, s.runner_up_score FROM policies p JOIN settled s USING ("table", "column") WHERE p.action = 'review'),
+fw(origin, node) AS (SELECT address, address FROM items UNION SELECT origin, t FROM fw JOIN e ON s = node WHERE kind IN ('copy', 'cast', 'grouped', 'transform')),
+bw(origin, node) AS (SELECT address, address FROM items UNION SELECT origin, s FROM bw JOIN e ON t = node),
+into_ AS (SELECT origin AS address, string_agg(node, ', ' ORDER BY node) AS nodes FROM fw WHERE node <> origin GROUP BY ALL),
+from_ AS (SELECT origin AS address, string_agg(node, ', ' ORDER BY node) AS nodes FROM bw WHERE node <> origin GROUP BY ALL),
+held AS (SELECT DISTINCT address, tbl FROM items UNION SELECT origin, regexp_replace(node, '\\.[^.]*$', '') FROM fw WHERE node <> origin AND regexp_replace(node, '\\.[^.]*$', '') IN (SELECT "table" FROM settled)),
+counts AS (SELECT tbl, count(*) AS n FROM held GROUP BY ALL),
+sole AS (SELECT address, string_agg(tbl, ', ' ORDER BY tbl) FILTER (n = 1) AS frees FROM held JOIN counts USING (tbl) GROUP BY ALL)
+SELECT address, concat_ws(chr(10), printf('%s  candidate %s at %.4f', address, category, confidence), printf('  short of the accept threshold by %.4f', round({rules.ACCEPT_AT} - confidence, 4)),
+  CASE WHEN runner_up IS NOT NULL THEN printf('  runner up %s at %.4f', runner_up, runner_up_score) END, '  came from ' || from_.nodes, '  carried into ' || into_.nodes, '  frees ' || frees) AS text
+FROM items LEFT JOIN sole USING (address) LEFT JOIN into_ USING (address) LEFT JOIN from_ USING (address)"""
+
+
+@query("review_briefs", _BRIEFS_SQL)
 def _(spark, d):
     return review.briefs(_queue(spark, d))
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
     verdicts = _verdicts(spark, d)[2]
-    policies = masking.policies(verdicts)
+    policies = _kept(masking.policies(verdicts))
     customer = masking.residual(tables.load(spark, d, "customer"), "customer", spark.createDataFrame(MASKED, POLICY)).withColumn("table", F.lit("customer"))
-    refused = policies.where("action = 'review'").select("table").distinct().select("table", F.lit("a column is in review").alias("reason"))
+    quasi = [k for k, level in rules.IDENTIFIABILITY.items() if level == "quasi"]
+    waiting = sorted({r["table"] for r in policies.where((F.col("action") == "review") & F.col("category").isin(quasi)).collect()})
+    _, refused = report.measured_or_refused(spark, waiting, lambda name: masking.residual(tables.load(spark, d, name), name, policies))
     unreachable = classify.rule_coverage(spark).where("not reachable and category <> 'not_personal'")
     return report.assembled([
         report.scope(verdicts), report.classification(classify.band_counts(verdicts), verdicts), report.policy(masking.action_counts(policies), masking.retained_on_absence(policies)),
@@ -742,17 +935,42 @@ def _report(spark: SparkSession, d: str) -> DataFrame:
     ])
 
 
-@query("compliance_report")
+def _report_sql() -> str:
+    """The lines of the report as the CTE ``lines``."""
+    place = oracle.values([(t, c, i) for t in tables.KEYS for i, (c, _) in enumerate(oracle.columns_of(t))], "t, c, position")
+    quasi = ", ".join(repr(k) for k, level in rules.IDENTIFIABILITY.items() if level == "quasi")
+    unreachable = [k for k in rules.IDENTIFIABILITY if k not in _BY_NAME | _BY_VALUE | _BY_SAMPLE and k != "not_personal"]
+    row = lambda section, title, at, question, answer, source, refusal="NULL", closable="true": f"SELECT {section} AS section, '{title}' AS title, {at} AS place, {question} AS question, CAST({answer} AS VARCHAR) AS answer, {refusal} AS refusal, {closable} AS closable FROM {source}"
+    parts = [
+        row(1, "Scope", 0, "'tables'", 'count(DISTINCT "table")', "settled"), row(1, "Scope", 1, "'columns'", "count(*)", "settled"),
+        row(2, "Classification", 0, "'columns in band ' || band", "n", "(SELECT band, count(\"table\") AS n FROM (VALUES ('accept'), ('review'), ('ignore')) b(band) LEFT JOIN settled USING (band) GROUP BY ALL)"),
+        row(2, "Classification", 1, "'is ' || \"table\" || '.' || \"column\" || ' personal data'", "NULL", "settled WHERE band = 'review'", "printf('scored %.4f, so a person decides', confidence)"),
+        row(3, "Policy", 0, "'columns to ' || action", "n", "(SELECT action, count(\"table\") AS n FROM (VALUES ('redact'), ('generalise'), ('retain'), ('review')) a(action) LEFT JOIN policies USING (action) GROUP BY ALL)"),
+        row(3, "Policy", 1, "'columns retained on absence of evidence'", "count(*)", "policies WHERE evidence_only"),
+        row(4, "Residual risk", 0, "'residual k of customer'", "printf('k %d, %d of %d people alone', k, singletons, population)", f"({oracle.residual('customer', _AFTER)})"),
+        row(4, "Residual risk", 0, "'residual k of ' || t", "NULL", f"(SELECT t, arg_min(c, position) AS c FROM {place} JOIN policies ON t = \"table\" AND c = \"column\" WHERE action = 'review' AND category IN ({quasi}) GROUP BY ALL)", "t || '.' || c || ' is in review, so there is no policy to measure'"),
+        row(5, "Access", 0, "'users who could have read ' || address", "len(could_have_read)", "z"),
+        row(5, "Access", 1, "'users who read ' || address", "len(did_read)", "z WHERE NOT (len(did_read) = 0 AND len(did_read_at_most) > 0)"),
+        row(5, "Access", 1, "'users who read ' || address", "NULL", "z WHERE len(did_read) = 0 AND len(did_read_at_most) > 0", "printf('%d users only by star, which names no column', len(list_filter(star_over_a_holder, lambda u: NOT list_contains(did_read, u))))", "false"),
+        row(6, "Coverage", 0, "'clause ' || letter", "NULL", "(VALUES ('E'), ('R')) c(letter)", "'no category stands for it'", "false"),
+        row(6, "Coverage", 1, "'category ' || category", "NULL", oracle.values([(k,) for k in unreachable], "category") + " c", "'no rule can find it'"),
+    ]
+    return f"{_SETS}, {POLICIES.removeprefix('WITH ')}, lines AS ({' UNION ALL '.join(parts)})"
+
+
+_REPORT = _report_sql()
+
+
+@query("compliance_report", f"{_REPORT} SELECT * FROM lines")
 def _(spark, d):
     return _report(spark, d)
 
 
-@query("compliance_counts", f"""{POLICIES}, r AS (SELECT count(*) AS n, count(DISTINCT "table") AS t FROM policies WHERE action = 'review')
-SELECT 2 + 3 + n + 4 + 1 + 1 + t + 10 + 2 + {len([k for k in rules.IDENTIFIABILITY if k not in _BY_NAME | _BY_VALUE | _BY_SAMPLE and k != 'not_personal'])} AS asked FROM r""")
+@query("compliance_counts", f"{_REPORT} SELECT count(*) AS asked, count(answer) AS answered, count(refusal) AS refused, count(*) FILTER (refusal IS NOT NULL AND NOT closable) AS unclosable FROM lines")
 def _(spark, d):
-    return report.counts(_report(spark, d)).select("asked")
+    return report.counts(_report(spark, d))
 
 
-@query("compliance_refusals_by_section")
+@query("compliance_refusals_by_section", f"{_REPORT} SELECT title, count(*) AS refusals FROM lines WHERE refusal IS NOT NULL GROUP BY ALL")
 def _(spark, d):
     return report.by_question(_report(spark, d))

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from quillon import queries
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ["profile_customer", "profile_with_nulls", "profile_no_rows", "predicates", "luhn", "sample_dominant_shape", "residual_events", "grain_daily", "uniqueness_sweep", "null_effect", "verdicts", "policies", "lineage_edges", "exposure_sets", "review_queue", "compliance_counts"]
+CHOSEN = ["profile_customer", "profile_with_nulls", "profile_no_rows", "predicates", "luhn", "sample_dominant_shape", "residual_events", "grain_daily", "uniqueness_sweep", "null_effect", "verdicts", "policies", "lineage_edges", "exposure_sets", "review_queue", "compliance_report", "verdict_texts", "review_briefs", "planted_headline", "shapes"]
 
 
 def values(rows):
@@ -17,7 +17,7 @@ def values(rows):
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query(spark, name):
     con = duckdb.connect()
-    for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"):
+    for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     made = queries.QUERIES[name](spark, SF)
     columns = sorted(made.columns)

@@ -65,9 +65,9 @@ def test_minutes_count_boundaries(spark):
 def test_granularities(a, b):
     if rules.FAMILY[a] != rules.FAMILY[b]:
         with pytest.raises(ValueError):
-            rules.at_least_as_fine(a, b)
+            rules.finer_or_equal(a, b)
     else:
-        assert rules.at_least_as_fine(a, b) or rules.at_least_as_fine(b, a)
+        assert rules.finer_or_equal(a, b) or rules.finer_or_equal(b, a)
 
 
 def test_rules_hold_together():
