@@ -18,13 +18,18 @@ PIECE = 4000  # characters compressed at a time; all pieces of a text count
 NARROW = 0.01  # a lead under this share of the size is no decision
 
 UNKNOWN = "und"
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())  # as \u2460, which \w takes for a letter
-NOT_LETTERS = re.compile(rf"[\W_{re.escape(_NUMBERS)}]+")
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NUMERALS = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha()]  # as \u2460, which \w takes for letters
+SUSPECT = re.compile(f"[{re.escape(''.join(c for c in _NUMERALS if c <= '\uffff'))}\U00010000-\U0010ffff]")  # few ranges, so that a search is quick
+NUMERALS = re.compile(f"[{re.escape(''.join(_NUMERALS))}]")
 
 
 def letters(text: str | None) -> str:
     """The lower-case words of a whole text, without numbers and marks, one space between them."""
-    return NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    words = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    if not words.isascii() and SUSPECT.search(words):
+        words = " ".join(NUMERALS.sub(" ", words).split())
+    return words
 
 
 def compressors(dictionaries: dict[str, bytes], level: int = 6) -> list[tuple[str, zstandard.ZstdCompressor]]:
