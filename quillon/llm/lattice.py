@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import settled
+from quillon.llm.common import scratch, settled
 from quillon.llm.components import connected_components
 
-TABLES, BLOCKS, PROBES, SCALE, SEED = 10, 2, 4, 1.4, 11
+BLOCKS, PROBES, SCALE, SEED = 2, 4, 1.4, 11
+BASE, MISSED = 10_000, 0.02  # vectors up to which ``SCALE`` holds; share of pairs at the least cosine that may never meet
 CHUNK = 1024  # members of a cell compared at a time; larger cells are dealt out as pairs of chunks
 
 
@@ -43,7 +45,7 @@ def nearest_point(x: np.ndarray) -> np.ndarray:
 class Tables:
     """Random projections for vectors of one length, and the keys of cells in them."""
 
-    def __init__(self, length: int, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES, scale: float = SCALE, seed: int = SEED):
+    def __init__(self, length: int, tables: int, scale: float = SCALE, blocks: int = BLOCKS, probes: int = PROBES, seed: int = SEED):
         self.tables, self.blocks, self.probes = tables, blocks, probes
         rng = np.random.default_rng([seed, length])
         self.projections = rng.normal(size=(tables, blocks, length, 8)) * (scale / np.sqrt(8))
@@ -64,11 +66,31 @@ class Tables:
                 key = key + (np.rint(2 * point).astype(np.int64) * self.salts[t, b]).sum(axis=1)  # wraps around
                 gains.append((x - point) @ self.roots.T)
                 moves.append((np.rint(2 * self.roots).astype(np.int64) * self.salts[t, b]).sum(axis=1))
-            best = np.argsort(-np.concatenate(gains, axis=1), axis=1, kind="stable")[:, : self.probes]
+            best = np.argpartition(-np.concatenate(gains, axis=1), self.probes, axis=1)[:, : self.probes]  # the best, in any order
             homes[:, t], around[:, t] = key, key[:, None] + np.concatenate(moves)[best]
         return homes, around
 
 
+def shape(length: int, vectors: int, least: float, trials: int = 400) -> tuple[int, float]:
+    """(tables, scale) for vectors of one length.
+
+    The lattice gets finer with the number of vectors, so that a cell holds as many that met by chance whatever
+    that number; and there are as many tables as leave ``MISSED`` of the pairs at the least cosine
+    unmet, which is measured on random pairs.
+    """
+    scale = SCALE * (max(vectors, BASE) / BASE) ** (1 / (8 * BLOCKS))
+    rng = np.random.default_rng([SEED, length])
+    x, y = (rng.normal(size=(trials, length)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+    cosine = min(max(least, 0.0), 1.0)
+    tried = Tables(length, 8, scale, seed=SEED + 1)
+    (hx, ax), (hy, ay) = tried.cells(x), tried.cells(cosine * x + np.sqrt(1 - cosine**2) * y)
+    met = float(((hx == hy) | (ax == hy[:, :, None]).any(axis=2) | (ay == hx[:, :, None]).any(axis=2)).mean())
+    return max(4, math.ceil(math.log(MISSED) / math.log(1 - min(max(met, 1 / trials), 0.99)))), scale
+
+
 def units(values: list[bytes], kind: str) -> np.ndarray:
     rows = np.array([np.frombuffer(v, dtype=kind) for v in values], dtype=np.float64)
     rows /= np.abs(rows).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
@@ -87,32 +109,53 @@ def _kind(frame: DataFrame) -> str:
     return "<f4" if frame.schema["v"].dataType.simpleString() == "array<float>" else "<f8"
 
 
-def _in_cells(classes: DataFrame) -> DataFrame:
-    """A row for each class, table and cell, its own and the probed ones: cid, n, v binary, cell, home."""
+def _in_cells(classes: DataFrame, shapes: dict[int, tuple[int, float]]) -> DataFrame:
+    """(cid, cell, home) for each class, table and cell, its own and the probed ones, where classes meet: the cell has two of
+    them, one at home. Ids travel, no vectors; most rows meet nobody and go no further."""
     kind = _kind(classes)
     width = np.dtype(kind).itemsize
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, Tables] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 raw = [np.asarray(x, dtype=kind).tobytes() for x in batch.column("v").to_pylist()]
-                lengths = np.array([len(r) for r in raw])
-                cid, n = (np.asarray(batch.column(c)) for c in ("cid", "n"))
-                for size in np.unique(lengths):
-                    own = np.flatnonzero(lengths == size)
-                    if size not in tables:
-                        tables[size] = Tables(int(size) // width)
-                    made = tables[size]
-                    homes, around = made.cells(units([raw[i] for i in own], kind))
-                    keys = np.concatenate([homes[:, :, None], around], axis=2)
-                    each = keys[0].size
-                    home = np.tile(np.arange(1 + made.probes) == 0, (len(own), made.tables, 1)).reshape(-1)
-                    values = pa.array([raw[i] for i in own], pa.binary()).take(pa.array(np.repeat(np.arange(len(own)), each)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid[own], each)), pa.array(np.repeat(n[own], each)), values, pa.array(keys.reshape(-1)), pa.array(home)], names=["cid", "n", "v", "cell", "home"])
-
-    return classes.mapInArrow(run, "cid long, n long, v binary, cell long, home boolean")
+                lengths, cid = np.array([len(r) // width for r in raw]), np.asarray(batch.column("cid"))
+                for length in np.unique(lengths).tolist():
+                    own = np.flatnonzero(lengths == length)
+                    if length not in tables:
+                        tables[length] = Tables(length, *shapes[length])
+                    homes, around = tables[length].cells(units([raw[i] for i in own], kind))
+                    found = np.concatenate([homes[:, :, None], around], axis=2)
+                    home = np.zeros(found.shape, dtype=bool)
+                    home[:, :, 0] = True
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid[own], found[0].size)), pa.array(found.reshape(-1)), pa.array(home.reshape(-1))], names=["cid", "cell", "home"])
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell_at, alive, first = None, False, None  # the cell that goes on, whether somebody is at home, its first row until it is given
+        for batch in batches:
+            cell, cid, home = (np.asarray(batch.column(c)) if c != "home" else batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "cid", "home"))
+            if not len(cell):
+                continue
+            starts = np.concatenate([[cell_at is None or cell[0] != cell_at], cell[1:] != cell[:-1]])
+            group = np.cumsum(starts)  # 0 is the cell that goes on
+            lives = np.concatenate([[alive], home[starts]])[group]  # those at home come first
+            later = ~starts & lives
+            leads = starts & lives & np.concatenate([~starts[1:], [False]])
+            given = later | leads
+            out = [cid[given], cell[given], home[given]]
+            if first is not None and later[0]:
+                out = [np.concatenate([[x], y]) for x, y in zip(first, out, strict=True)]
+            if starts.any():
+                first = (cid[-1], cell[-1], home[-1]) if starts[-1] and lives[-1] else None
+            elif later[0]:
+                first = None
+            cell_at, alive = cell[-1], bool(lives[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0].astype("i8")), pa.array(out[1].astype("i8")), pa.array(out[2].astype(bool))], names=["cid", "cell", "home"])
+
+    schema = "cid long, cell long, home boolean"
+    return classes.select("cid", "v").mapInArrow(keys, schema).repartition("cell").sortWithinPartitions("cell", F.desc("home"), "cid").mapInArrow(meeting, schema)
 
 
 def _verified(cid: np.ndarray, values: list[bytes], home: np.ndarray, part: np.ndarray, cell: int, least: float, tables: Tables, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +169,11 @@ def _verified(cid: np.ndarray, values: list[bytes], home: np.ndarray, part: np.n
     a, b = np.nonzero(near)
     if not len(a):
         return a, b
-    homes, around = tables.cells(unit)
+    some, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    homes, around = tables.cells(unit[some])
     kept = np.zeros(len(a), dtype=bool)
     for at in range(0, len(a), 100_000):
-        x, y = a[at : at + 100_000], b[at : at + 100_000]
+        x, y = back[at : min(at + 100_000, len(a))], back[len(a) + at : len(a) + min(at + 100_000, len(a))]
         same = homes[x] == homes[y]
         to_x, to_y = (around[y] == homes[x][:, :, None]).any(axis=2), (around[x] == homes[y][:, :, None]).any(axis=2)
         first = (same | to_x | to_y).argmax(axis=1)
@@ -152,7 +196,7 @@ def _hubs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _compared(dealt: DataFrame, least: float, kind: str) -> DataFrame:
+def _compared(dealt: DataFrame, least: float, kind: str, shapes: dict[int, tuple[int, float]]) -> DataFrame:
     """(cid, hub, links): for rows sorted by cell and pair of chunks, how many vectors each class links to there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +215,8 @@ def _compared(dealt: DataFrame, least: float, kind: str) -> DataFrame:
                     continue
                 cid, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
                 if size not in tables:
-                    tables[size] = Tables(size // np.dtype(kind).itemsize)
+                    length = size // np.dtype(kind).itemsize
+                    tables[size] = Tables(length, *shapes[length])
                 a, b = _verified(cid, [r[2] for r in rows], home, np.array([r[4] for r in rows]), key[0], least, tables[size], kind)
                 if len(a):
                     links = np.bincount(a, weights=n[b], minlength=len(rows)) + np.bincount(b, weights=n[a], minlength=len(rows))
@@ -180,6 +225,7 @@ def _compared(dealt: DataFrame, least: float, kind: str) -> DataFrame:
 
         for batch in batches:
             for cell, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "cid", "n", "v", "home", "part")), strict=True):
+                row[2] = np.asarray(row[2], dtype=kind).tobytes()
                 if (cell, i, j) != key:
                     close()
                     key, held = (cell, i, j), []
@@ -196,10 +242,12 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
     Equal vectors are one class, so copies are never compared. Each class goes to its cell and the four
-    nearest cells of ten tables; classes that meet, one of them at home, are compared in double precision
-    inside the cell, and each pair counts only where it meets first, so that no pairs are made as rows. A
-    cell of more than ``CHUNK`` members is dealt out as pairs of chunks, which keeps memory bounded and
-    loses nothing. At cosine 0.9 about 98 % of all pairs meet, above 0.95 practically all.
+    nearest cells of several tables; how fine these are and how many follows from the number of classes, see
+    ``shape``. Classes that meet, one of them at home, are compared in double precision inside the cell, and
+    each pair counts only where it meets first, so that no pairs are made as rows. Vectors travel only to
+    cells where somebody meets. A cell of more than ``CHUNK`` members is dealt out as pairs of chunks, which
+    keeps memory bounded and loses nothing. At the least cosine about 98 % of all pairs meet, from 0.95 on
+    practically all.
 
     Vectors that are null, empty, zero or have null or non-finite parts, and rows with a null id, link with
     nothing: n_links 0, themselves as component. Vectors of different lengths never link. Repeated rows link
@@ -207,12 +255,16 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """
     rows = settled(usable(vectors, vec_id, embedding))
     classes = settled(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").cast("long").alias("cid"), F.count("*").alias("n")))
-    cells = _in_cells(classes)
-    hot = cells.groupBy("cell").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK).select("cell", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
-    chunked = cells.join(hot, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    chunked = chunked.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    dealt = chunked.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cid", "n", "v", "home", "part")
-    found = settled(_compared(dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j"), least, _kind(rows)))
+    sizes = classes.groupBy(F.size("v").alias("length")).count().collect()  # a row for each length of vectors
+    shapes = {r["length"]: shape(r["length"], r["count"], least) for r in sizes}
+    with scratch() as keep:
+        cells = keep(_in_cells(classes, shapes), "cells")
+        hot = cells.groupBy("cell").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK).select("cell", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
+        chunked = cells.join(hot, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        chunked = chunked.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+        met = chunked.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cid", "home", "part")
+        dealt = met.join(classes, "cid").select("cell", "i", "j", "cid", "n", "v", "home", "part")
+        found = settled(_compared(dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j"), least, _kind(rows), shapes))
     degrees = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("cid <> hub"), "cid", "hub").select(F.col("node").alias("cid"), "root")
     settled_classes = classes.join(degrees, "cid", "left").join(roots, "cid", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "cid").alias("root"))
