@@ -53,22 +53,22 @@ class Tables:
         self.salts = rng.integers(1, 1 << 62, size=(tables, blocks, 8), dtype=np.int64) | 1
         self.bases = rng.integers(1, 1 << 62, size=tables, dtype=np.int64)
 
+    def cell(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(home, probes) in one table: for each row the key of its cell, and those of the nearest cells one step away."""
+        key, gains, moves = np.full(len(unit), self.bases[t]), [], []
+        for b in range(self.blocks):
+            x = unit @ self.projections[t, b]
+            point = nearest_point(x)
+            key = key + (np.rint(2 * point).astype(np.int64) * self.salts[t, b]).sum(axis=1)  # wraps around
+            gains.append((x - point) @ self.roots.T)
+            moves.append((np.rint(2 * self.roots).astype(np.int64) * self.salts[t, b]).sum(axis=1))
+        best = np.argpartition(-np.concatenate(gains, axis=1), self.probes, axis=1)[:, : self.probes]  # the best, in any order
+        return key, key[:, None] + np.concatenate(moves)[best]
+
     def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(homes, probes): for each row and table the key of its cell, and those of the nearest cells one step away."""
-        n = len(unit)
-        homes = np.empty((n, self.tables), dtype=np.int64)
-        around = np.empty((n, self.tables, self.probes), dtype=np.int64)
-        for t in range(self.tables):
-            key, gains, moves = np.full(n, self.bases[t]), [], []
-            for b in range(self.blocks):
-                x = unit @ self.projections[t, b]
-                point = nearest_point(x)
-                key = key + (np.rint(2 * point).astype(np.int64) * self.salts[t, b]).sum(axis=1)  # wraps around
-                gains.append((x - point) @ self.roots.T)
-                moves.append((np.rint(2 * self.roots).astype(np.int64) * self.salts[t, b]).sum(axis=1))
-            best = np.argpartition(-np.concatenate(gains, axis=1), self.probes, axis=1)[:, : self.probes]  # the best, in any order
-            homes[:, t], around[:, t] = key, key[:, None] + np.concatenate(moves)[best]
-        return homes, around
+        """(homes, probes) in all tables."""
+        each = [self.cell(unit, t) for t in range(self.tables)]
+        return np.stack([home for home, _ in each], axis=1), np.stack([around for _, around in each], axis=1)
 
 
 def shape(length: int, vectors: int, least: float, trials: int = 400) -> tuple[int, float]:
@@ -110,7 +110,7 @@ def _kind(frame: DataFrame) -> str:
 
 
 def _in_cells(classes: DataFrame, shapes: dict[int, tuple[int, float]]) -> DataFrame:
-    """(cid, cell, home) for each class, table and cell, its own and the probed ones, where classes meet: the cell has two of
+    """(cid, cell, home, t) for each class, table and cell, its own and the probed ones, where classes meet: the cell has two of
     them, one at home. Ids travel, no vectors; most rows meet nobody and go no further."""
     kind = _kind(classes)
     width = np.dtype(kind).itemsize
@@ -130,12 +130,13 @@ def _in_cells(classes: DataFrame, shapes: dict[int, tuple[int, float]]) -> DataF
                     found = np.concatenate([homes[:, :, None], around], axis=2)
                     home = np.zeros(found.shape, dtype=bool)
                     home[:, :, 0] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid[own], found[0].size)), pa.array(found.reshape(-1)), pa.array(home.reshape(-1))], names=["cid", "cell", "home"])
+                    table = np.broadcast_to(np.arange(found.shape[1], dtype=np.int32)[None, :, None], found.shape)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid[own], found[0].size)), pa.array(found.reshape(-1)), pa.array(home.reshape(-1)), pa.array(table.reshape(-1))], names=["cid", "cell", "home", "t"])
 
     def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell_at, alive, first = None, False, None  # the cell that goes on, whether somebody is at home, its first row until it is given
         for batch in batches:
-            cell, cid, home = (np.asarray(batch.column(c)) if c != "home" else batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "cid", "home"))
+            cell, cid, home, table = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "cid", "home", "t"))
             if not len(cell):
                 continue
             starts = np.concatenate([[cell_at is None or cell[0] != cell_at], cell[1:] != cell[:-1]])
@@ -144,43 +145,48 @@ def _in_cells(classes: DataFrame, shapes: dict[int, tuple[int, float]]) -> DataF
             later = ~starts & lives
             leads = starts & lives & np.concatenate([~starts[1:], [False]])
             given = later | leads
-            out = [cid[given], cell[given], home[given]]
+            out = [x[given] for x in (cid, cell, home, table)]
             if first is not None and later[0]:
                 out = [np.concatenate([[x], y]) for x, y in zip(first, out, strict=True)]
             if starts.any():
-                first = (cid[-1], cell[-1], home[-1]) if starts[-1] and lives[-1] else None
+                first = (cid[-1], cell[-1], home[-1], table[-1]) if starts[-1] and lives[-1] else None
             elif later[0]:
                 first = None
             cell_at, alive = cell[-1], bool(lives[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0].astype("i8")), pa.array(out[1].astype("i8")), pa.array(out[2].astype(bool))], names=["cid", "cell", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0].astype("i8")), pa.array(out[1].astype("i8")), pa.array(out[2].astype(bool)), pa.array(out[3].astype("i4"))], names=["cid", "cell", "home", "t"])
 
-    schema = "cid long, cell long, home boolean"
+    schema = "cid long, cell long, home boolean, t int"
     return classes.select("cid", "v").mapInArrow(keys, schema).repartition("cell").sortWithinPartitions("cell", F.desc("home"), "cid").mapInArrow(meeting, schema)
 
 
-def _verified(cid: np.ndarray, values: list[bytes], home: np.ndarray, part: np.ndarray, cell: int, least: float, tables: Tables, kind: str) -> tuple[np.ndarray, np.ndarray]:
+def _verified(cid: np.ndarray, values: list[bytes], home: np.ndarray, part: np.ndarray, cell: int, table: int, least: float, tables: Tables, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Indexes (a, b) of the pairs to be counted here: cosine of ``least`` or more, of different parts where there
-    are two, one of them at home in the cell, and this the first cell of the first table where the two meet."""
+    are two, one of them at home in the cell, and this the first cell of the first table where the two meet.
+
+    Earlier tables are looked at one after the other; most pairs have met in the first, so few rows go on.
+    """
     unit = units(values, kind)
     near = unit @ unit.T >= least
     near &= (home[:, None] | home[None]) & (cid[:, None] < cid[None])
     if part.min() != part.max():
         near &= part[:, None] != part[None]
     a, b = np.nonzero(near)
-    if not len(a):
-        return a, b
-    some, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-    homes, around = tables.cells(unit[some])
-    kept = np.zeros(len(a), dtype=bool)
-    for at in range(0, len(a), 100_000):
-        x, y = back[at : min(at + 100_000, len(a))], back[len(a) + at : len(a) + min(at + 100_000, len(a))]
-        same = homes[x] == homes[y]
-        to_x, to_y = (around[y] == homes[x][:, :, None]).any(axis=2), (around[x] == homes[y][:, :, None]).any(axis=2)
-        first = (same | to_x | to_y).argmax(axis=1)
-        r = np.arange(len(x))
-        meeting = np.where(same[r, first] | to_x[r, first], homes[x, first], homes[y, first])
-        kept[at : at + 100_000] = meeting == cell
-    return a[kept], b[kept]
+    for t in range(table + 1):
+        if not len(a):
+            break
+        some, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+        homes, around = tables.cell(unit[some], t)
+        x, y = back[: len(a)], back[len(a) :]
+        to_x, to_y = homes[x] == homes[y], np.zeros(len(a), dtype=bool)
+        for k in range(tables.probes):
+            to_x |= around[y, k] == homes[x]
+            to_y |= around[x, k] == homes[y]
+        if t < table:
+            kept = ~(to_x | to_y)
+        else:
+            kept = np.where(to_x, homes[x], homes[y]) == cell
+        a, b = a[kept], b[kept]
+    return a, b
 
 
 def _hubs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -217,14 +223,14 @@ def _compared(dealt: DataFrame, least: float, kind: str, shapes: dict[int, tuple
                 if size not in tables:
                     length = size // np.dtype(kind).itemsize
                     tables[size] = Tables(length, *shapes[length])
-                a, b = _verified(cid, [r[2] for r in rows], home, np.array([r[4] for r in rows]), key[0], least, tables[size], kind)
+                a, b = _verified(cid, [r[2] for r in rows], home, np.array([r[4] for r in rows]), key[0], rows[0][5], least, tables[size], kind)
                 if len(a):
                     links = np.bincount(a, weights=n[b], minlength=len(rows)) + np.bincount(b, weights=n[a], minlength=len(rows))
                     hub = cid[_hubs(len(rows), a, b)]
                     out.extend((cid[i], hub[i], int(links[i])) for i in np.flatnonzero(links))
 
         for batch in batches:
-            for cell, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "cid", "n", "v", "home", "part")), strict=True):
+            for cell, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "cid", "n", "v", "home", "part", "t")), strict=True):
                 row[2] = np.asarray(row[2], dtype=kind).tobytes()
                 if (cell, i, j) != key:
                     close()
@@ -262,8 +268,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         hot = cells.groupBy("cell").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK).select("cell", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
         chunked = cells.join(hot, "cell", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         chunked = chunked.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        met = chunked.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cid", "home", "part")
-        dealt = met.join(classes, "cid").select("cell", "i", "j", "cid", "n", "v", "home", "part")
+        met = chunked.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cid", "home", "part", "t")
+        dealt = met.join(classes, "cid").select("cell", "i", "j", "cid", "n", "v", "home", "part", "t")
         found = settled(_compared(dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j"), least, _kind(rows), shapes))
     degrees = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("cid <> hub"), "cid", "hub").select(F.col("node").alias("cid"), "root")
