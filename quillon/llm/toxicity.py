@@ -67,6 +67,15 @@ def _telling(rows: list[np.ndarray], y: np.ndarray, size: int, least: float = 20
     return np.sort(best[chi[best] >= least])
 
 
+def _present(rows: list[np.ndarray], columns: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``x`` with a 1 wherever a row has the indicator of one of the first columns. Both lists ascend."""
+    for i, r in enumerate(rows if len(columns) else ()):
+        at = np.searchsorted(columns, r)
+        hit = columns[np.minimum(at, len(columns) - 1)] == r
+        x[i, at[hit]] = 1
+    return x
+
+
 def kinds(rows: list[np.ndarray], toxic: np.ndarray, size: int, groups: int = GROUPS, steps: int = 20) -> np.ndarray:
     """A column of 0 and 1 for each kind of toxic text, the largest first.
 
@@ -77,7 +86,7 @@ def kinds(rows: list[np.ndarray], toxic: np.ndarray, size: int, groups: int = GR
     columns = _telling(rows, toxic, size) if 0 < toxic.sum() < len(toxic) else np.zeros(0, dtype=np.int64)
     if not len(columns):
         return out
-    x = np.array([np.isin(columns, r) for r in rows], dtype=float)
+    x = _present(rows, columns, np.zeros((len(rows), len(columns))))
     columns = x[toxic > 0].mean(axis=0) > x[toxic == 0].mean(axis=0)
     own = np.flatnonzero((toxic > 0) & x[:, columns].any(axis=1))
     x = x[own][:, columns]
@@ -104,16 +113,12 @@ def fit_link(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, size: in
         bias = -30.0 if y.sum() == 0 else float(np.log(len(y) + 1))  # without an example, never
         return Link(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(before.shape[1]), bias)
     columns = _telling(rows, y, size)
-    x = np.zeros((len(rows), len(columns) + before.shape[1] + 1), dtype=np.float32)
-    for i, r in enumerate(rows):
-        at = np.searchsorted(columns, r)
-        hit = columns[np.minimum(at, len(columns) - 1)] == r if len(columns) else np.zeros(len(r), dtype=bool)
-        x[i, at[hit]] = 1
+    x = _present(rows, columns, np.zeros((len(rows), len(columns) + before.shape[1] + 1)))
     x[:, len(columns) : -1], x[:, -1] = before, 1
-    ridge = np.full(x.shape[1], penalty / np.sqrt(len(y)), dtype=np.float32)
+    ridge = np.full(x.shape[1], penalty / np.sqrt(len(y)))
     ridge[-1] = 0
     rate = 1.0 / (0.25 * float(np.linalg.norm(x, 2)) ** 2 / len(y) + float(ridge.max()))
-    w = momentum = np.zeros(x.shape[1], dtype=np.float32)
+    w = momentum = np.zeros(x.shape[1])
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ momentum, -30, 30)))
         ahead = momentum - rate * (x.T @ (p - y) / len(y) + ridge * momentum)
