@@ -22,6 +22,7 @@ PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 CACHED_WORDS, CACHED_PAIRS, CHUNK_CHARS = 200_000, 1_000_000, 1_000_000
 SHORT, ROWS = 48, 500  # bytes of a word that is merged in a plain list; rows that are handed on at a time
+HEAD = 4  # bytes by which it is known how long a token can be
 
 
 def byte_names() -> dict[str, int]:
@@ -41,7 +42,10 @@ class Bpe:
         self.ids = {bytes(names[c] for c in token): i for token, i in model["vocab"].items()}
         self.raw = {i: b for b, i in self.ids.items()}
         self.single = [self.ids[bytes([b])] for b in range(256)]
-        self.longest = max(map(len, self.ids))
+        self.reach: dict[bytes, int] = {}  # the longest token that starts with these bytes
+        for token in self.ids:
+            if len(token) >= HEAD:
+                self.reach[token[:HEAD]] = max(len(token), self.reach.get(token[:HEAD], 0))
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         of = lambda name: self.ids[bytes(names[c] for c in name)]
         self.ranks = {(of(a), of(b)): rank for rank, (a, b) in enumerate(pairs)}
@@ -100,10 +104,13 @@ class Bpe:
         """Greedy longest match."""
         if (whole := self.ids.get(word)) is not None:
             return [whole]
-        out, at, ids, n = [], 0, self.ids, len(word)
+        out, at, n = [], 0, len(word)
+        ids, reach = self.ids.get, self.reach.get
         while at < n:
-            end = min(n, at + self.longest)
-            while (token := ids.get(word[at:end])) is None:
+            end = at + reach(word[at : at + HEAD], HEAD - 1)
+            if end > n:
+                end = n
+            while (token := ids(word[at:end])) is None:
                 end -= 1
             out.append(token)
             at = end
