@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import fresh, small_batches
+from quillon.llm.common import fresh, lean, small_batches
 
 # The pattern that splits text before merging, and the bytes that stand for themselves in token names.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -240,6 +240,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
     kept = [f for f in df.schema if f.name != text]
     more = [T.StructField(decoded, T.StringType())] if decoded else []
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _made(file, cached)
         for batch in _slices(batches):
@@ -258,6 +259,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
     """``df`` with the text of its token ids; a null array gives null."""
     file, text = _shared(df, path), fresh(df, text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _made(file)
         for batch in _slices(batches):

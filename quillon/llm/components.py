@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import looked_up, settled
+from quillon.llm.common import lean, looked_up, settled
 
 ONE_TASK = 1_000_000  # links, of 16 bytes each, that one task may finish; more are contracted by stars
 
@@ -35,6 +35,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _forests(links: DataFrame) -> DataFrame:
     """The same components with fewer links: a star for each component of every ``ONE_TASK`` links of a partition."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 

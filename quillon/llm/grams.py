@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import held_out, small_batches
+from quillon.llm.common import held_out, lean, small_batches
 
 WORD = re.compile(r"\w+")
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -108,11 +108,13 @@ def fitted(sample: DataFrame, grams: Grams | Stems, target: list[str], fit: Call
     result alone.
     """
 
+    @lean
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "grams": [grams.of(t).astype(np.int32).tobytes() for t in batch["text"]]} | {t: batch[t].astype("float64") for t in target})
         grams.cache.clear()  # a worker outlives its task
 
+    @lean
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, y = [], []
         for batch in batches:

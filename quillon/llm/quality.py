@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh, held_out, small_batches
+from quillon.llm.common import fresh, held_out, lean, small_batches
 from quillon.llm.grams import Grams, fitted, labelled_sample
 
 SAMPLE_ROWS = 6000  # the bound of the labelled sample
@@ -142,6 +142,7 @@ def scored(docs: DataFrame, model: dict, text: str = "text", score: str = "score
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two numbers for each indicator of the sample, 2 ** bits at most
 
     @F.pandas_udf("double")
+    @lean
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = QualityModel.of_plain(shared.value)
         for batch in batches:

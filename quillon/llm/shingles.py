@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import BROADCAST_ROWS, listed, small_batches
+from quillon.llm.common import BROADCAST_ROWS, lean, listed, small_batches
 
 SEED, SHINGLE = 42, 5
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -119,6 +119,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(shingle, hits), ascending by shingle, of the most common shingles in one of ``ORDER_SHARE`` different texts."""
     some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t) for t in batch.column("text").to_pylist()]
@@ -138,6 +139,7 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(_common(own))  # ORDER_SIZE rows at most
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, hits = shared.value
         seen: set[int] = set()
@@ -165,6 +167,7 @@ def cells(prints: DataFrame) -> DataFrame:
     """
     rows = prints.where("prefix is not null").select("fp", "n", F.posexplode("prefix").alias("at", "gram")).select("gram", "fp", F.expr("shiftleft(n, 24) + at + 1").alias("place"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, int] | None = None  # the first row of the shingle at the end of the batch before, until it is given
         gram_at, fp_at = None, None  # the last row that came by
@@ -230,6 +233,7 @@ def sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFram
     if wanted.count() <= BROADCAST_ROWS:
         picked, wanted = picked.join(F.broadcast(wanted.select("first")), "first", "left_semi"), F.broadcast(wanted)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t) for t in batch.column("text").to_pylist()]
@@ -257,6 +261,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole sets have the least Jaccard."""
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []

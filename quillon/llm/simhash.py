@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import shingles
-from quillon.llm.common import BROADCAST_ROWS, fresh, looked_up, scratch, settled, small_batches
+from quillon.llm.common import BROADCAST_ROWS, fresh, lean, looked_up, scratch, settled, small_batches
 from quillon.llm.components import connected_components
 
 SEED, BITS = 42, 64
@@ -50,6 +50,7 @@ def _hashed(words: list[bytes], shingle: int, digest) -> bytes:
 
 def _simhash_column(shingle: int):
     @F.pandas_udf("long")
+    @lean
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([simhash(x, shingle) for x in batch], dtype="int64")
@@ -165,7 +166,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, doc_id: str = "doc_id", te
                 continue
             named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
             sets = keep(shingles.sets(docs, keep(classes.join(named, "fp").select("fp", "first")), doc_id, text))
-            links = shingles.verified(pairs, sets)
+            links = keep(shingles.verified(pairs, sets))  # else each task of the components holds a second worker
             if turn:
                 links = links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
             known = connected_components(links, "a", "b")
@@ -200,6 +201,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def _set_column():
     @F.pandas_udf("long")
+    @lean
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([shingles.fingerprint(shingles.shingles(t)) for t in batch], dtype="int64")

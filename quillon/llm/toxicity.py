@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fresh, held_out, small_batches
+from quillon.llm.common import fresh, held_out, lean, small_batches
 from quillon.llm.grams import Stems, fitted, labelled_sample
 
 SAMPLE_ROWS = 6000  # the bound of the labelled sample
@@ -166,6 +166,7 @@ def scored(docs: DataFrame, chain: dict, text: str = "text", prefix: str = "toxi
     names = chain["names"]
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    @lean
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         chain = Chain.of_plain(shared.value)
         for batch in batches:

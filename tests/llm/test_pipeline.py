@@ -1,14 +1,16 @@
 """Each stage of the pipeline on its own input, against plain versions."""
 
 import hashlib
+import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillon.llm import mixing, toxicity
+from quillon.llm import common, components, mixing, simhash, toxicity
 from tests.llm.test_shingles import plain_components
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +97,33 @@ def test_run_is_its_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert 0 < found.count() and found.exceptAll(docs).count() == docs.exceptAll(found).count() == 0
+
+
+def test_a_worker_gives_back_what_its_task_has_freed():
+    def anonymous():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    pins = []  # what stays above the freed blocks keeps the C library from giving them back by itself
+
+    def task(batches):
+        blocks = [bytearray(1000) for _ in range(200_000)]
+        pins.append(bytearray(1000))
+        for batch in batches:
+            yield batch + len(blocks)
+
+    before = anonymous()
+    assert list(common.lean(task)(iter([1, 2]))) == [200_001, 200_002]
+    assert anonymous() - before < 60
+
+
+def test_links_are_written_before_they_are_joined_up(spark, monkeypatch):
+    """A task that verifies pairs and joins them up too would hold two workers."""
+    plans = []
+
+    def joined(links, a, b):
+        plans.append(links._jdf.queryExecution().toString())
+        return components.connected_components(links, a, b)
+
+    monkeypatch.setattr(simhash, "connected_components", joined)
+    STAGES["near_duplicates"](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count()
+    assert plans and not any("MapInArrow" in p for p in plans)
