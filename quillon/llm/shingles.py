@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import BROADCAST_ROWS, lean, listed, small_batches
@@ -191,36 +191,83 @@ def cells(prints: DataFrame) -> DataFrame:
     return rows.repartition("gram").sortWithinPartitions("gram", "fp").mapInArrow(run, "gram long, fp long, n long, at long")
 
 
-def _likely(n: str, at: str, m: str, there: str):
-    """Whether two sets of n and m shingles, whose first common one stands at these places, can have the least Jaccard:
-    what follows must hold all of the ``LEAST`` share. A pair that can has such a shingle among its cells."""
-    return F.least(F.col(n) - F.col(at), F.col(m) - F.col(there)) + 1 >= F.expr(f"({LEAST[0]} * ({n} + {m}) + {sum(LEAST) - 1}) div {sum(LEAST)}")
+def _least(n: str, m: str) -> str:
+    """The least number of shingles that sets of n and m have in common from the ``LEAST`` share on."""
+    return f"({LEAST[0]} * ({n} + {m}) + {sum(LEAST) - 1}) div {sum(LEAST)}"
 
 
 def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
     """(gram, fp, n, at, root): the cells whose sets are in different components still; ``roots`` is (node, root)."""
     placed = met.select("gram", "fp", "n", "at").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return _several(placed)
+
+
+def _several(placed: DataFrame) -> DataFrame:
     several = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
     return placed.join(several, "gram", "left_semi").select("gram", "fp", "n", "at", "root")
 
 
+def _to_come(still: DataFrame) -> DataFrame:
+    """``still`` with ``come``, the cells that a set has from this one on, and ``rest``, its shingles behind its prefix."""
+    come = F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("at")))
+    return still.withColumn("come", come).withColumn("rest", F.expr(f"({LEAST[0]} * n + {LEAST[1] - 1}) div {LEAST[1]} - 1"))
+
+
 def hub_pairs(still: DataFrame, seeds: range) -> DataFrame:
-    """(a, b): each set of a cell with one hub of the cell for each seed, if that is in another component."""
-    hub = lambda t: F.min(F.struct(F.xxhash64("fp", F.lit(t)).alias("h"), F.col("fp").alias("hub"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("root").alias("of")))
-    hubs = still.groupBy("gram").agg(*[hub(t).alias(f"h{t}") for t in seeds])
-    each = still.join(hubs, "gram").select("fp", "n", "at", "root", F.explode(F.array(*[f"h{t}" for t in seeds])).alias("s")).select("*", "s.*").drop("s")
+    """(a, b): each set of a cell with one hub of the cell for each seed, if that is in another component.
+
+    The hub of seed 0 has the least share of rarer shingles: of near copies one with few edits, which has the
+    highest Jaccard to the others. Those of other seeds are drawn.
+    """
+    order = lambda t: F.xxhash64("fp", F.lit(t)).cast("double") if t else F.col("at") / F.col("n")
+    hub = lambda t: F.min(F.struct(order(t).alias("h"), *_as_other())).alias(f"h{t}")
+    still = _to_come(still)
+    hubs = still.groupBy("gram").agg(*[hub(t) for t in seeds])
+    each = still.join(hubs, "gram").select(*still.columns, F.explode(F.array(*[f"h{t}" for t in seeds])).alias("s")).select("*", "s.*").drop("s")
     return _distinct(each)
 
 
 def all_pairs(still: DataFrame) -> DataFrame:
-    """(a, b): the pairs of a cell's sets that are in different components."""
-    other = still.select("gram", F.col("fp").alias("hub"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("root").alias("of"))
-    return _distinct(still.join(other, "gram").where(F.col("fp") < F.col("hub")))
+    """(a, b): the pairs of a cell's sets that are in different components.
+
+    One of the two is outside the cell's main component, that with the most sets, so only those outside meet all
+    sets of the cell: a large group that is joined up is not compared with itself. A set is in the cells alone
+    that can be the first that it shares with another one: an edited copy whose own shingles are too many in none.
+    """
+    rows = _firsts(still)
+    main = rows.groupBy("gram", "root").agg(F.count("*").alias("many")).groupBy("gram").agg(F.max_by("root", "many").alias("main"))
+    outside = rows.join(main, "gram").where("root <> main").drop("main")
+    return _distinct(outside.join(rows.select("gram", *_as_other()), "gram"))
+
+
+def _firsts(still: DataFrame) -> DataFrame:
+    """The rows of ``_to_come`` whose shingle can be the first that the set has in common with one of least Jaccard to it.
+
+    This is ``_distinct``'s bound for the sizes that the cell holds. Without its roundings the bound is concave in the other
+    size, so that the least and the greatest size decide.
+    """
+    rows, (top, low) = _to_come(still), LEAST
+    sizes = rows.groupBy("gram").agg(F.min("n").alias("m"), F.max("n").alias("o"))
+    ends = F.array(F.expr(f"greatest(m, ({top} * n + {low - 1}) div {low})"), F.expr(f"least(o, ({low} * n) div {top})"))
+    share = lambda m: top * (F.col("n") + m)
+    held = F.exists(ends, lambda m: (top + low) * (F.col("n") - F.col("at") + 1) >= share(m))
+    shared = F.exists(ends, lambda m: low * ((top + low) * F.col("come") - share(m)) + (top + low) * F.greatest(low * F.col("rest"), top * m - 1) >= 0)
+    return rows.join(sizes, "gram").where(held & shared).select(rows.columns)
+
+
+def _as_other() -> list[Column]:
+    return [F.col(c).alias(k) for c, k in (("fp", "hub"), ("n", "m"), ("at", "there"), ("root", "of"), ("come", "comes"), ("rest", "rests"))]
 
 
 def _distinct(met: DataFrame) -> DataFrame:
-    likely = met.where((F.col("root") != F.col("of")) & _likely("n", "at", "m", "there"))
-    return likely.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+    """The pairs that can have the least Jaccard; one that has it can on the first shingle that the two share.
+
+    From there on each set holds all that they share. And both prefixes hold the first of these shingles, all
+    but as many as stand behind one of the prefixes at most; each of them is a cell that both sets have.
+    """
+    o = F.expr(_least("n", "m"))
+    likely = (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there")) + 1 >= o) & (F.least("come", "comes") + F.greatest("rest", "rests") >= o)
+    return met.where((F.col("root") != F.col("of")) & likely).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
 
 
 def sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -252,8 +299,7 @@ def possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     firsts = prints.where("prefix is not null").select("fp", "n", "prefix").join(named, "fp", "left_semi").dropDuplicates(["fp"])
     left, right = (firsts.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b")
-    o = F.expr(f"({LEAST[0]} * (na + nb) + {sum(LEAST) - 1}) div {sum(LEAST)}")
-    least = F.least(F.size("pa") - F.col("na"), F.size("pb") - F.col("nb")) + o
+    least = F.least(F.size("pa") - F.col("na"), F.size("pb") - F.col("nb")) + F.expr(_least("na", "nb"))
     return both.where(F.size(F.array_intersect("pa", "pb")) >= least).select("a", "b")
 
 

@@ -141,10 +141,10 @@ def similar_links(docs: DataFrame, prints: DataFrame, doc_id: str = "doc_id", te
 
     Fingerprints in one ball are candidates. As 0.8 is some ten bits, far out of any ball, the sets that share a
     shingle of their prefixes are candidates too, and those two share at 0.8 in any case. Candidates are
-    verified on whole sets. First each set meets two hubs of each shingle, then eight others where that left
-    several components, so that a large group joins up without its pairs; then all pairs on a shingle whose
-    components are still different. ``prints`` is what
-    ``shingles.marked`` gives for ``docs``, written.
+    verified on whole sets. First each set meets two hubs of each shingle, one of them the least edited, then eight
+    others where that left several components, so that a large group joins up without its pairs; then what is outside
+    a shingle's main component meets all sets that it can be linked with. ``prints`` is what ``shingles.marked``
+    gives for ``docs``, written.
     """
     with scratch() as keep:
         met = keep(shingles.cells(prints))

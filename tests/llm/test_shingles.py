@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import shingles, simhash
@@ -74,6 +76,46 @@ def test_all_pairs_from_0_8_on_and_no_others(spark):
     assert components(spark, rows) == {i: min(g) for g in plain_components(rows) for i in g}
 
 
+def test_a_large_group_joins_up_without_its_pairs(spark, monkeypatch):
+    """Each copy has a Jaccard of 0.8 to the text with no edits alone, so that hubs which are drawn don't join them."""
+    rng, made = random.Random(3), []
+    base = " ".join(f"w{i}" for i in range(150))
+    rows = [(i, edited(rng, base, 3) if i != 70 else base, "en") for i in range(200)]
+    monkeypatch.setattr(shingles, "ORDER_SHARE", 1)
+    possible = shingles.possible
+    monkeypatch.setattr(shingles, "possible", lambda pairs, prints: made.append(pairs.count()) or possible(pairs, prints))
+    assert components(spark, rows) == {i: min(g) for g in plain_components(rows) for i in g}
+    assert sum(made) < 10 * len(rows)
+
+
+def test_a_group_that_is_joined_up_is_not_compared_with_itself(spark, monkeypatch):
+    """Of 300 sets on a shingle all but three are in one component; no task may meet all pairs of the cell, whether or not it gives them."""
+    seen, distinct = [], shingles._distinct
+    monkeypatch.setattr(shingles, "_distinct", lambda met: seen.append(met.count()) or distinct(met))
+    still = spark.createDataFrame([(g, i, 10, g, i if i < 3 else 99) for i in range(300) for g in (1, 2, 3)], "gram long, fp long, n long, at long, root long")
+    found = {(r["a"], r["b"]) for r in shingles.all_pairs(still).collect()}
+    assert found == {(a, b) for a in range(3) for b in range(a + 1, 300)} and sum(seen) <= 3 * 3 * 300
+
+
+def test_the_bounds_lose_no_link_between_sets_of_different_size(spark):
+    """Shingles that one set has in its prefix and the other behind it are no cell, and count all the same."""
+    rng, sets = np.random.default_rng(11), []
+    for k in range(300):  # a set, what is left of it without some, and with others put in
+        whole = 1000 * k + rng.choice(1000, rng.integers(5, 120), replace=False)
+        for less in rng.uniform(0, 0.2, 1 + k % 3):
+            part = rng.permutation(whole)[int(less * len(whole)) :]
+            sets.append(np.unique(np.concatenate([part, 1000 * k + rng.choice(1000, rng.integers(0, 1 + len(whole) // 12))])))
+        sets.append(np.sort(whole))
+    none = np.zeros(0, dtype=np.int64)
+    prints = spark.createDataFrame([(i, len(s), shingles.prefix(s, none, none).tolist()) for i, s in enumerate(sets)], "fp long, n long, prefix array<long>")
+    met = shingles.cells(prints).withColumn("root", F.col("fp"))
+    found = {(r["a"], r["b"]) for r in shingles.all_pairs(met).collect()}
+    alike = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    plain = [set(s.tolist()) for s in sets]
+    near = {(i, j) for i, x in enumerate(plain) for j in range(i + 1, min(i + 5, len(plain))) if alike(x, plain[j])}
+    assert len(near) > 200 and near <= found
+
+
 def test_the_order_of_shingles_changes_no_result(spark, monkeypatch):
     rows = fixture()
     monkeypatch.setattr(shingles, "ORDER_SHARE", 1)
